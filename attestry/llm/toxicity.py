@@ -100,18 +100,15 @@ class Model:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """unit, toxic, clean: occurrences in the sample's texts, added up in each batch before they are dealt out."""
+    """unit, toxic, clean: how many of the sample's texts hold the unit, added up in each batch before they are dealt out.
+
+    A text counts once however often it repeats a word, so a burst in one text is no evidence."""
 
     def task():
         def f(x):
-            counts = Counter(), Counter()
-            for text, label in zip(x["text"], x["toxic"], strict=True):
-                counts[0 if label else 1].update(WORD.findall((text or "").lower()))
             both = Counter(), Counter()
-            for c, into in zip(counts, both, strict=True):
-                for w, n in c.items():
-                    for u in units(w):
-                        into[u] += n
+            for text, label in {*zip(x["text"], x["toxic"], strict=True)}:
+                both[0 if label else 1].update({u for w in {*WORD.findall((text or "").lower())} for u in units(w)})
             names = [*{**both[0], **both[1]}]
             return {"unit": names, "toxic": [both[0][u] for u in names], "clean": [both[1][u] for u in names]}
 
@@ -140,7 +137,7 @@ def fit(labelled: DataFrame, docs: DataFrame, max_rows: int = 40_000, max_units:
     t, c = F.col("toxic") + share, F.col("clean") + share
     odds = F.log(t / (n_toxic + prior - t)) - F.log(c / (n_clean + prior - c))
     deviation = F.sqrt(1 / t + 1 / c)
-    kept = counts.where(F.col("toxic") >= 3).select("unit", odds.alias("odds"), (odds / deviation).alias("z"), "toxic", "clean")
+    kept = counts.where(F.col("toxic") >= 4).select("unit", odds.alias("odds"), (odds / deviation).alias("z"), "toxic", "clean")
     # Few counts have wide deviations whatever the odds, so a unit absent from clean texts needs many counts in toxic ones.
     sure = (F.col("z") >= z) | ((F.col("clean") == 0) & (F.col("toxic") * math.log1p(n_clean / n_toxic) >= z * 4))
     rows = kept.where(sure & (F.col("odds") > 1)).orderBy(F.desc("z"), "unit").limit(max_units).collect()
