@@ -66,6 +66,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    """The Arrow schema of a schema string; needs the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
 def stream(df: DataFrame, each: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow over column lists. `each` runs once in a task and returns the function of a batch."""
 
@@ -75,10 +83,7 @@ def stream(df: DataFrame, each: Callable[[], Callable[[dict[str, list]], dict[st
             out = f({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in kinds], schema=kinds)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    kinds = arrow_schema(schema)
     return df.mapInArrow(run, schema)
 
 

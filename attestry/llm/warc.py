@@ -13,6 +13,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -182,11 +183,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
 def _with_end(df: DataFrame, task, schema: str) -> DataFrame:
     """common.stream, and a call when a task's rows are over."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    kinds = common.arrow_schema(schema)
 
     def run(batches):
         f = task()
@@ -220,18 +217,13 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for block in common.chunks(_fields(data.as_py()), 500):
                     rows = [x | {"bundle": path, "payload": x["payload"] if payloads else None} for x in block]
                     yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = to_arrow_schema(_parse_datatype_string(RECORD))
+    kinds = common.arrow_schema(RECORD)
     return files.mapInArrow(run, RECORD)
 
 
