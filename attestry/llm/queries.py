@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, langid, packing, simhash, substring, toxicity, warc
+from . import ann, common, decontam, langid, packing, simhash, substring, tokenstore, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokenstore.round_trip(table(spark, sf_dir, "documents"), common.public_tokenizer("word_bpe_49k.json"), 2)
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), common.public_tokenizer("byte_bpe_50k.json"), 2048, 0)
 

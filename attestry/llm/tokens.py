@@ -20,7 +20,7 @@ _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACED = re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
 _UNSPACED = re.compile(f"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 _UNSPACED_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces remembered at most in a worker, some 50 MB.
+#: Pieces of a generation, two of which are remembered in a worker: some 100 MB.
 MEMORY = 300_000
 
 
@@ -32,14 +32,23 @@ def _byte_letters() -> str:
 
 
 class _Pieces(dict):
+    """Ids of pieces. When full, it becomes the elder generation, from which pieces in use come back."""
+
     def __init__(self, model) -> None:
-        self.model, self.letters = model, _byte_letters()
+        self.model, self.letters, self.elder = model, _byte_letters(), {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        out = self[piece] = array("I", [x.id for x in found]).tobytes()
+        out = self.elder.get(piece)
+        if out is None:
+            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            out = array("I", [x.id for x in found]).tobytes()
+        self[piece] = out
         return out
 
+    def age(self) -> None:
+        self.elder = dict(self)
+        self.clear()
+
 
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
@@ -70,7 +79,7 @@ class Encoder:
         if self.cut is None or not _PLAIN.fullmatch(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.pieces) > MEMORY:
-            self.pieces.clear()
+            self.pieces.age()
         return b"".join(map(self.pieces.__getitem__, self.cut.findall(text.lower() if self.lower else text)))
 
 
