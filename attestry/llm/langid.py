@@ -142,3 +142,21 @@ def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
         return f
 
     return common.stream(used, task, f"{kinds}, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, unchanged, that have a language: null texts and texts without letters go."""
+    spark = common.configure(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model)
+    columns = docs.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def task():
+        def f(x):
+            names, _ = shared.value.predict(x["text"])
+            keep = [i for i, name in enumerate(names) if name != UNKNOWN]
+            return {c: [x[c][i] for i in keep] for c in columns}
+
+        return f
+
+    return common.stream(docs, task, kinds)
