@@ -231,7 +231,8 @@ def _located(docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, Data
     common.drop_staged(found)
     runs = rows.where(F.col("first").isNotNull())
     # Runs of equal words are one class, led by its smallest document; all later documents lose the whole run.
-    classes = runs.groupBy("anchor", "segment").agg(F.min("doc_id").alias("leader"))
+    # Staged, so that the join with a run that very many documents hold can be split.
+    classes = common.staged(runs.groupBy("anchor", "segment").agg(F.min("doc_id").alias("leader")), "classes")
     owned = common.staged(runs.select("doc_id", "text_hash", "first", "n", "anchor", "segment").join(classes, ["anchor", "segment"]), "owned")
     later = owned.where("doc_id > leader").select("doc_id", "text_hash", "first", "n")
     # A leader loses a window that another class of the same anchor holds in a smaller document.
