@@ -1,0 +1,104 @@
+"""Query generation over pluggable models, and classifier training and prediction."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from datetime import datetime, timezone
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import frames, querygen
+from ..operators.consolidate import consolidate
+from ..operators.validate import validate
+from ..paths import Workspace
+from ..schemas import BLUEPRINT_FIELDS
+from ..settings import QueryGenSettings
+from ..sources import writers
+
+Choice = Any
+
+
+def canonical_choices(value: Choice) -> list[dict]:
+    """A text has weight 1, texts share evenly, weighted values must add up to 1 within 1e-6; nothing, empty and mixed lists are errors."""
+    if isinstance(value, str):
+        value = [value]
+    if not value or not isinstance(value, (list, tuple)):
+        raise ValueError("choices must be a text or a list that isn't empty")
+    if all(isinstance(v, str) for v in value):
+        return [{"value": v, "weight": 1 / len(value)} for v in value]
+    if not all(isinstance(v, dict) and {"value", "weight"} == set(v) for v in value):
+        raise ValueError("choices are all texts or all weighted values")
+    if abs(sum(v["weight"] for v in value) - 1) > 1e-6:
+        raise ValueError("weights must add up to 1")
+    return [dict(v) for v in value]
+
+
+def fingerprint(spec: dict) -> str:
+    return hashlib.sha256(json.dumps(spec, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def batches(n: int, size: int) -> list[list[str]]:
+    """Candidate ids c001, c002, ... in batches."""
+    ids = [f"c{i:03d}" for i in range(1, n + 1)]
+    return [ids[i : i + size] for i in range(0, n, size)]
+
+
+def read_memory(path: Path, spec: dict) -> dict | None:
+    """The planning summary of an earlier run, unless it is missing or of another spec."""
+    if not path.exists():
+        return None
+    value = json.loads(path.read_text(encoding="utf-8"))
+    return value.get("summary") if value.get("fingerprint") == fingerprint(spec) else None
+
+
+def gen_queries(spark: SparkSession, spec: dict, planner: querygen.Planner, realizer: querygen.Realizer, summarizer: querygen.Summarizer | None = None, embedder: querygen.Embedder | None = None, settings: QueryGenSettings | None = None, run_id: str = "run", workspace: Workspace | None = None) -> DataFrame:
+    """Plan in batches with a memory, align, deduplicate, realize, align, assemble. Model calls are sequential by nature and bounded by n_queries."""
+    settings, workspace = settings or QueryGenSettings(), workspace or Workspace()
+    spec = {k: canonical_choices(v) for k, v in spec.items() if v is not None}
+    folder = workspace.queries(run_id)
+    memory = read_memory(workspace.root / "querygen" / "planning_summary.json", spec)
+    planned: list[dict] = []
+    expected: list[str] = []
+    for ids in batches(settings.n_queries, settings.batch_size):
+        found = planner.plan(spec, ids, memory)
+        planned += found
+        expected += ids
+        if summarizer:
+            memory = summarizer.update(memory, found)
+    order = spark.createDataFrame([(x, i) for i, x in enumerate(expected)], "candidate_id string, ord long")
+    kinds = ", ".join(f"{c} string" for c in ("candidate_id", *BLUEPRINT_FIELDS)) + ", ord long"
+    rows = [tuple(p.get(c) for c in ("candidate_id", *BLUEPRINT_FIELDS)) + (i,) for i, p in enumerate(planned)]
+    blueprints = querygen.align_first_by_id(spark.createDataFrame(rows, kinds), order)
+    kept = querygen.deduplicate_blueprints(blueprints, embedder, settings.near_duplicate_tolerance).orderBy("ord").persist()
+    chosen = [r.asDict() for r in kept.collect()]
+    realized: list[dict] = []
+    for i in range(0, len(chosen), settings.batch_size):
+        realized += realizer.realize(chosen[i : i + settings.batch_size])
+    texts = spark.createDataFrame([(r["candidate_id"], r["query"], i) for i, r in enumerate(realized)], "candidate_id string, query string, ord long")
+    out = querygen.assemble(querygen.align_first_by_id(texts, kept.select("candidate_id", "ord")), kept, run_id)
+    writers.write_csv(out, str(folder / "queries.csv"))
+    meta = {"run_id": run_id, "created_at": datetime.now(timezone.utc).isoformat(), "n_requested_queries": settings.n_queries, "n_returned_queries": out.count()}
+    writers.atomic_json(folder / "meta.json", meta)
+    if memory is not None:
+        writers.atomic_json(workspace.root / "querygen" / "planning_summary.json", {"fingerprint": fingerprint(spec), "summary": memory})
+    return out
+
+
+RESERVED = {"task", "frame", "labels", "text", "text_pair", "split_group"}
+
+
+def train_evaluator(df: DataFrame, task: str, classifier: frames.Classifier, **options: Any) -> str:
+    """Validate, consolidate, rename, train; options may not name what the plan sets."""
+    if taken := sorted(RESERVED & set(options)):
+        raise ValueError(f"options {taken} are set by the plan")
+    if "ord" not in df.columns:
+        df = df.withColumn("ord", F.monotonically_increasing_id())
+    return classifier.train(frames.to_classifier(consolidate(validate(df, task, "train"), task), task), options)
+
+
+def predict_labels(df: DataFrame, task: str, classifier: frames.Classifier, model: str) -> DataFrame:
+    return classifier.predict(frames.to_classifier(validate(df, task, "predict"), task, labels=False), model)

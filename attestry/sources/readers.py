@@ -27,7 +27,7 @@ def with_order(df: DataFrame) -> DataFrame:
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON file whose root is an array; another root is an error."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     bad = text.where(~F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("[")).count()
     if bad:
         raise SourceError(f"{path}: the root must be an array")
@@ -39,7 +39,7 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One record a line; blank lines are skipped; an error names the first bad line, counted from 1."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     lines = lines.where(F.length(F.regexp_replace("line", r"(?U)\s+", "")) > 0)
     kind = F.expr("schema_of_variant(try_parse_json(line))")
     bad = lines.where(F.coalesce(~kind.startswith("OBJECT"), F.lit(True))).agg(F.min("pos").alias("p")).first().p

@@ -45,7 +45,7 @@ def write_csv(df: DataFrame, path: str, header_when_empty: bool = True) -> bool:
     target, store = hadoop(spark, path)
     folder, _ = hadoop(spark, staging)
     try:
-        cells.coalesce(1).write.options(header=True, quote='"', escape='"', emptyValue="", nullValue="").csv(staging)
+        cells.coalesce(1).write.options(header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(staging)
         parts = [s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("part-")]
         text = next((p for p in parts), None)
         if text is None or store.getFileStatus(text).getLen() == 0:
