@@ -24,8 +24,12 @@ QUERIES = 2048  # queries of a block
 BROADCAST_BYTES = 32 << 20
 #: Rows that the centre is fitted on at most.
 SAMPLE = 10_000
+#: Queries compared at a time: bounds a worker's memory at STEP x ROWS vectors.
+STEP = 32
 #: Width of the error bound, in standard deviations of the estimate.
-WIDTH = 4.0
+WIDTH = 1.9
+#: Over any distance.
+FAR = 1e300
 
 
 def usable(v: Column) -> Column:
@@ -47,6 +51,14 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
     return np.packbits(residual > 0, axis=1), norm, np.abs(unit).sum(1) / np.sqrt(x.shape[1])
 
 
+def _squares(x: np.ndarray) -> np.ndarray:
+    """Sums of squares, added up from the first component to the last, as a plain loop would."""
+    out = x[..., 0] ** 2
+    for i in range(1, x.shape[-1]):
+        out = out + x[..., i] ** 2
+    return out
+
+
 def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, query_ids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, distance) of the k nearest of this block for each query; ties go to smaller ids."""
     dim = x.shape[1]
@@ -54,19 +66,25 @@ def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray,
     fit = np.maximum(fit, 1e-6)
     spread = np.where(fit < 1, np.sqrt(np.maximum(0, 1 - fit**2)) / fit, 0) * WIDTH / np.sqrt(max(1, dim - 1))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(q), 256):
-        part, own = q[at : at + 256], query_ids[at : at + 256]
+    for at in range(0, len(q), STEP):
+        part, own = q[at : at + STEP], query_ids[at : at + STEP]
         residual = (part - centre) @ turn
         size = np.linalg.norm(residual, axis=1)
         inner = residual.astype(np.float32) @ signs.T / np.sqrt(dim) / fit  # estimates of <unit vector, query residual>
         middle = norm**2 + size[:, None] ** 2 - 2 * norm * inner
-        slack = 2 * norm * spread * size[:, None] + 1e-4 * (norm**2 + size[:, None] ** 2)
-        other = ids[None] != own[:, None]
-        high = np.where(other, middle + slack, np.inf)
-        kth = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.full((len(part), 1), np.inf)
-        row, col = np.nonzero((middle - slack <= kth) & other)
-        # Added up from the first component to the last, as a plain loop would.
-        exact = np.sqrt(np.add.accumulate((x[col] - part[row]) ** 2, axis=1)[:, -1])
+        middle[ids[None] == own[:, None]] = np.inf
+        slack = 2 * norm * spread * size[:, None] + 1e-5 * (norm**2 + size[:, None] ** 2)
+        if len(ids) > k:
+            # The k that look nearest, compared exactly, bound the k-th distance from above.
+            first = np.argpartition(middle, k - 1, axis=1)[:, :k]
+            bound = np.take_along_axis(middle, first, 1)
+            bound = np.where(np.isinf(bound), FAR, _squares(x[first] - part[:, None])).max(1, keepdims=True)
+        else:
+            bound = np.full((len(part), 1), FAR)
+        row, col = np.nonzero(middle - slack <= bound * (1 + 1e-9))
+        if not len(row):
+            continue
+        exact = np.sqrt(_squares(x[col] - part[row]))
         order = np.lexsort((ids[col], exact, row))
         row, col, exact = row[order], col[order], exact[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
