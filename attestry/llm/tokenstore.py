@@ -34,13 +34,18 @@ ENCODED = "doc_id long, n_tokens long, digests array<binary>, sizes array<int>,
 STORED = "kind string, pack int, doc_id long, start long, n_tokens long, digests array<binary>, sizes array<int>, shared array<int>, root binary, payload binary"
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: after a span of ids whose hash ends in zeros, within the size limits."""
-    n = len(ids)
-    h = rolling((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), SPAN, np.uint64(0xD6E8FEB86659FD93)) if n >= SPAN else np.zeros(0, np.uint64)
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0) + SPAN
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """First places of the spans of ids whose hash ends in zeros."""
+    if len(ids) < SPAN:
+        return np.zeros(0, np.int64)
+    h = rolling((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), SPAN, np.uint64(0xD6E8FEB86659FD93))
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0)
+
+
+def cuts_of(n: int, ends: list[int]) -> list[int]:
+    """Ends of the chunks of n ids: after marked spans, within the size limits."""
     out, last = [], 0
-    for m in marks.tolist():
+    for m in ends:
         while m - last > LARGEST:
             last += LARGEST
             out.append(last)
@@ -55,6 +60,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream."""
+    return cuts_of(len(ids), (marks_of(ids) + SPAN).tolist())
+
+
 def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
@@ -72,18 +82,24 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
     """Ids of each row's whole text (null: empty) and the end id, cut into chunks."""
 
     def task():
-        enc, end, packer = encoder(tokenizer), int(end_id).to_bytes(4, "little"), zstandard.ZstdCompressor(level=3)
+        enc, end, packer = encoder(tokenizer), int(end_id).to_bytes(4, "little"), zstandard.ZstdCompressor(level=2)
 
         def f(x):
             out = {k: [] for k in ("n_tokens", "digests", "sizes", "payload")}
-            for text in x["text"]:
-                ids = np.frombuffer(enc.encode(text) + end, "<u4")
-                data = ids.astype(f"<u{width}").tobytes()
-                ends = cuts(ids)
+            parts = [enc.encode(text) + end for text in x["text"]]
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            data = ids.astype(f"<u{width}").tobytes()
+            marks, at = marks_of(ids), 0  # of the whole batch; a span within a document doesn't see its neighbours
+            for part in parts:
+                n = len(part) // 4
+                own = marks[np.searchsorted(marks, at) : np.searchsorted(marks, at + n - SPAN, "right")]
+                ends = cuts_of(n, (own - at + SPAN).tolist())
                 starts = [0, *ends[:-1]]
-                row = (len(ids), [digest(data[width * a : width * b]) for a, b in zip(starts, ends, strict=True)], [b - a for a, b in zip(starts, ends, strict=True)], packer.compress(data))
+                chunk = [digest(data[width * (at + a) : width * (at + b)]) for a, b in zip(starts, ends, strict=True)]
+                row = (n, chunk, [b - a for a, b in zip(starts, ends, strict=True)], packer.compress(data[width * at : width * (at + n)]))
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
+                at += n
             return out | {"doc_id": x["doc_id"]}
 
         return f
@@ -118,20 +134,26 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     first, at = {}, 0
     for r in totals:
         first[r.pack], at = at, at + r.n
-    places = rows.select("uid", F.posexplode("digests").alias("i", "digest"))
+    places = rows.select("uid", "doc_id", pack.alias("pack"), F.posexplode("digests").alias("i", "digest"))
     shared = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("uid", "i")).alias("owner")).where("n > 1").select("digest", "owner")
-    marks = places.join(shared, "digest").select("uid", F.struct("i", (F.struct("uid", "i") == F.col("owner")).alias("owns")).alias("mark"))
-    marks = marks.groupBy("uid").agg(F.sort_array(F.collect_list("mark")).alias("marks"))
-    dealt = rows.join(marks, "uid", "left").withColumn("pack", pack)
-    dealt = dealt.repartition(packs, "pack").sortWithinPartitions("pack", F.col("doc_id").asc_nulls_first(), "uid")
+    marks = places.join(shared, "digest").select("uid", "doc_id", "pack", F.struct("i", (F.struct("uid", "i") == F.col("owner")).alias("owns")).alias("mark"))
+    marks = marks.groupBy("pack", "doc_id", "uid").agg(F.collect_list("mark").alias("marks"))
+    # A document's marks and its row are dealt by pack and meet in sorted order, so payloads are dealt out once.
+    whole = rows.select(pack.alias("pack"), "doc_id", "uid", F.lit(1).alias("is_row"), "n_tokens", "digests", "sizes", "payload", F.lit(None).cast("array<struct<i:int,owns:boolean>>").alias("marks"))
+    dealt = whole.unionByName(marks.withColumn("is_row", F.lit(0)), allowMissingColumns=True)
+    dealt = dealt.repartition(packs, "pack").sortWithinPartitions("pack", F.col("doc_id").asc_nulls_first(), "uid", "is_row")
 
     def task():
         packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        place = {"pack": None, "at": 0}
+        place = {"pack": None, "at": 0, "marks": None}
 
         def f(x):
             out = {k: [] for k in names}
             for p, doc_id, n, digests, sizes, payload, marked in zip(*(x[k] for k in ("pack", "doc_id", "n_tokens", "digests", "sizes", "payload", "marks")), strict=True):
+                if marked is not None:
+                    place["marks"] = marked
+                    continue
+                marked, place["marks"] = place["marks"], None
                 if p != place["pack"]:
                     place.update(pack=p, at=first[p])
                 if marked:
@@ -145,7 +167,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
                         elif elsewhere[i]:
                             put(out, ("chunk", p, None, None, size, [digests[i]], [size], None, None, packer.compress(chunk)))
                     payload = packer.compress(b"".join(own))
-                put(out, ("doc", p, doc_id, place["at"], n, digests, sizes, [m["i"] for m in marked or ()], merkle_root(digests), payload))
+                put(out, ("doc", p, doc_id, place["at"], n, digests, sizes, sorted(m["i"] for m in marked or ()), merkle_root(digests), payload))
                 place["at"] += n
             return out
 
