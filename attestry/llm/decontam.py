@@ -6,7 +6,7 @@ exact weighted-shingle similarity, the sum of smaller over the sum of larger cou
 
 A window that reaches the similarity shares a run of the item's shingles, so windows are laid only where a
 document has a shingle of an item, at every `stride` words, where no such run is shorter than the stride.
-A bitmap of fixed size tells a document without any in its own row, before anything is dealt out or exploded.
+The words of a document stay in its task: only windows are dealt out.
 """
 
 from __future__ import annotations
@@ -18,9 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of the map of item shingles, as a power of two: one MB.
-MAP_BITS = 23
-#: Items are broadcast up to this many shingles; beyond, Spark joins them by a shuffle.
+#: Shingles of items in one broadcast; a larger benchmark takes several passes over the documents.
 BROADCAST_SHINGLES = 500_000
 
 
@@ -72,44 +70,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     spark = common.configure(docs.sparkSession)
     items = benchmark.select("item_id", words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
     items = items.select("item_id", F.size("item_words").alias("n"), F.least(F.size("item_words"), F.lit(width)).alias("w"), "item_words")
-    items = items.withColumn("item_shingles", shingles(F.col("item_words"), F.col("w"))).drop("item_words")
-    items = common.staged(items.withColumn("item_fp", simhash(F.transform("item_shingles", lambda s: F.xxhash64(s)))), "items")
+    # Arrays that lambdas use are columns of staged tables: Spark would put their expressions into every lambda.
+    items = common.staged(items.withColumn("item_shingles", shingles(F.col("item_words"), F.col("w"))), "items")
+    items = common.staged(items.withColumn("hashes", F.transform("item_shingles", lambda s: F.xxhash64(s))), "items")
+    items = common.staged(items.withColumn("item_fp", simhash(F.col("hashes"))).drop("hashes"), "items")
     sizes = items.groupBy("w", "n").agg(F.sum(F.size("item_shingles")).alias("total")).collect()  # one row for each length
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
     hint = F.broadcast if sum(r.total for r in sizes) <= BROADCAST_SHINGLES else (lambda x: x)
-
-    places = items.select("item_id", "n", "w", F.posexplode("item_shingles").alias("at", "s")).select("item_id", "n", "w", "at", F.xxhash64("s").alias("h"))
-    slot = F.col("h").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    cells = places.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(_left(slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    bitmap = [0] * (1 << MAP_BITS >> 6)
-    for r in cells.collect():  # at most one row for each cell of the map
-        bitmap[r.cell] = r.bits
-    bits = spark.createDataFrame([(bitmap,)], "bitmap array<long>")
-
-    base = docs.select(F.col("doc_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    shingle_hash = lambda c, at, w: F.xxhash64(*[F.get(c, F.col(at) + k) for k in range(w)])
+    # Passes over the documents: one, unless the benchmark's shingles are too many for one broadcast.
+    passes = -(-sum(r.total for r in sizes) // BROADCAST_SHINGLES)
     found = []
     for w in sorted({r.w for r in sizes}):
         stride = min(guaranteed_run(r.n - r.w + 1, threshold) for r in sizes if r.w == w)
-        last = F.greatest(F.size("words") - w, F.lit(0))
-        hash_at = lambda i, w=w: F.xxhash64(F.array_join(F.slice("words", i + 1, w), " "))
-
-        def known(h: Column) -> Column:
-            cell = F.get(F.col("bitmap"), F.shiftright(h.bitwiseAND(F.lit((1 << MAP_BITS) - 1)), 6).cast("int"))
-            return _shift(cell, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-        starts = F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.struct(i.alias("p"), hash_at(i).alias("h")))  # noqa: B023
-        hits = base.join(F.broadcast(bits)).select("doc_id", "words", F.filter(starts, lambda x: known(x["h"])).alias("hits"))  # noqa: B023
-        each = hits.where(F.size("hits") > 0).select("doc_id", "words", F.explode("hits").alias("hit")).select("doc_id", "words", "hit.p", "hit.h")
-        own = places.where(F.col("w") == w).select("n", "at", F.col("h").alias("item_h")).distinct()
-        laid = each.join(hint(own), F.col("h") == F.col("item_h"))
+        own = items.where(F.col("w") == w).select("n", "item_words", F.explode(F.sequence(F.lit(0), F.col("n") - w)).alias("at"))
+        own = common.staged(own.select("n", "at", shingle_hash("item_words", "at", w).alias("item_h")).distinct(), "shingles")
+        # The outer form keeps Spark from splitting each text twice, once for a filter that it would infer. From here to the
+        # join rows are variables of one generated loop, so the words are not copied for places without a hit.
+        places = F.when(F.size("words") >= w, F.sequence(F.lit(0), F.size("words") - w, F.lit(stride)))
+        each = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", "words", F.explode_outer(places).alias("p"))
+        each = each.select("doc_id", "words", "p", shingle_hash("words", "p", w).alias("h"))
         first = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.size("words") - F.col("n")))
-        found.append(laid.select("doc_id", first.alias("start"), "n", F.lit(w).alias("w"), F.slice("words", first + 1, F.col("n")).alias("window")))
+        for k in range(passes):
+            part = F.broadcast(own.where(F.pmod("item_h", F.lit(passes)) == k))
+            laid = each.join(part, (F.col("h") == F.col("item_h")) & F.col("p").isNotNull())
+            found.append(laid.select("doc_id", first.alias("start"), "n", F.lit(w).alias("w"), F.slice("words", first + 1, F.col("n")).alias("window")))
     windows = found[0]
     for more in found[1:]:
         windows = windows.unionAll(more)
-    windows = windows.distinct().withColumn("shingles", shingles(F.col("window"), F.least(F.col("w"), F.size("window")))).drop("window")
-    windows = windows.withColumn("fp", simhash(F.transform("shingles", lambda s: F.xxhash64(s))))
+    windows = common.staged(windows.distinct(), "windows")
+    windows = common.staged(windows.withColumn("shingles", shingles(F.col("window"), F.least(F.col("w"), F.size("window")))).drop("window"), "windows")
+    windows = common.staged(windows.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s))), "windows")
+    windows = common.staged(windows.withColumn("fp", simhash(F.col("hashes"))).drop("hashes"), "windows")
 
     blocks = radius + 1
     cuts = [64 * i // blocks for i in range(blocks + 1)]
