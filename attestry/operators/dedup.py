@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,11 +67,9 @@ def greedy_removed(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     By rounds: an undecided id whose smaller partners are all removed is kept, and removes its larger partners. The result is
     that of the scan. Each round is a table in the checkpoint folder; chains of length n need n rounds at worst."""
     spark = pairs.sparkSession
-    own = None
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(own := tempfile.mkdtemp(prefix="attestry-"))
+        # Only without spark.checkpoint.dir, as in tests: a cluster names a shared folder.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestry-"))
     edges = pairs.where("i < j").select("i", "j").distinct().checkpoint()
     removed = spark.createDataFrame([], "id long").checkpoint()
     for _ in range(max_rounds):
@@ -83,7 +81,7 @@ def greedy_removed(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
         removed = removed.unionAll(out).checkpoint()
         gone = out.unionAll(kept).checkpoint()
         edges = edges.join(gone.withColumnRenamed("id", "i"), "i", "left_anti").join(gone.withColumnRenamed("id", "j"), "j", "left_anti").select("i", "j").checkpoint()
-    raise RuntimeError(f"pairs are left after {max_rounds} rounds ({uuid.uuid4().hex}, {own})")
+    raise RuntimeError(f"pairs are left after {max_rounds} rounds")
 
 
 def near_dup_greedy(vectors: DataFrame, tolerance: float = 0.95) -> DataFrame:

@@ -234,7 +234,7 @@ def align_first_by_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assemble_queries(spark: SparkSession, sf: str) -> DataFrame:
-    c = fx.table(spark, sf, "nation").select(querygen.F.concat(F.lit("c"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("candidate_id"), F.col("n_nationkey").alias("ord"), "n_name", "n_regionkey")
+    c = fx.table(spark, sf, "nation").select(F.concat(F.lit("c"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("candidate_id"), F.col("n_nationkey").alias("ord"), "n_name", "n_regionkey")
     text = lambda x: F.lit(None).cast("string").alias(x)
     blueprints = c.select("candidate_id", "ord", F.col("n_name").alias("domain"), F.col("n_regionkey").cast("string").alias("role"), *[text(x) for x in ("language", "topic", "intent", "task", "difficulty", "format", "user_scenario", "information_need")])
     realized = c.where("n_nationkey % 3 <> 0").select("candidate_id", F.concat(F.lit("what about "), "n_name").alias("query"), (-F.col("ord")).alias("ord"))
