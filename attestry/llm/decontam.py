@@ -122,5 +122,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("bad_id"), "left_anti")
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__attestry_bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"] == F.col("__attestry_bad_id"), "left_anti")

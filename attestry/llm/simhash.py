@@ -24,6 +24,8 @@ from .components import connected_components
 SEED = 42
 #: Pivots of a table.
 PIVOTS = 12
+#: A column of ours beside those of docs.
+HASH = "__attestry_text_hash"
 #: Pairs looked at together.
 BLOCK = 1 << 20
 
@@ -168,16 +170,21 @@ def links(classes: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, id (the smallest doc_id with it), label (equal within a component) of every fingerprint: a staged table."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    labels = connected_components(links(classes, radius))
+    return common.staged(classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("label")), "classes")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id keep it and
-    don't count for the smallest. Repeated rows give repeated rows. An empty table gives no rows."""
+    don't count for the smallest. Repeated rows give repeated rows. An empty table gives no rows. Other columns take no part."""
     common.configure(docs.sparkSession)
     prints = common.staged(fingerprints(docs, width), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    labels = connected_components(links(classes, radius))
-    grouped = common.staged(classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("label")), "classes")
+    grouped = _components(prints, radius)
     least = grouped.groupBy("label").agg(F.min("id").alias("component_id"))
     members = grouped.join(least, "label").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -185,11 +192,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
 
 
 def keep_first(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component that with the smallest doc_id stays.
-
-    Of repeated rows with that doc_id one stays, that with the smallest text. Rows with a null doc_id stay
-    only if their component has no other id."""
-    found = near_duplicates(docs.select("doc_id", "text"), radius, width).select("doc_id", "component_id")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id"))).drop("kept_id").dropDuplicates(["doc_id"])
+    """The rows of docs without near-duplicates: of each component one row stays, that with the smallest doc_id.
+
+    Null ids come after all others; of rows with that id the one with the smallest hash of its text stays."""
+    common.configure(docs.sparkSession)
+    text = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+    prints = common.staged(fingerprints(docs.select("doc_id", "text", text.alias(HASH)), width, HASH), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", HASH))
+    kept = prints.join(_components(prints, radius).select("fp", "label"), "fp").groupBy("label").agg(first.alias("row"))
+    kept = kept.select(F.col("row.doc_id").alias(f"{HASH}_id"), F.col(f"row.{HASH}").alias(f"{HASH}_kept"))
+    marked = docs.withColumn(HASH, text)
+    same = marked["doc_id"].eqNullSafe(F.col(f"{HASH}_id")) & (F.col(HASH) == F.col(f"{HASH}_kept"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", HASH]).drop(HASH)

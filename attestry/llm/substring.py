@@ -163,7 +163,7 @@ def located_runs(routed: DataFrame, window: int, phrase: int) -> DataFrame:
                 mine = np.unique(at)
                 mine = mine[np.isin(h[mine], np.array(known, np.int64).view(np.uint64))]
                 phrases.update(" ".join(words[i : i + phrase]) for i in mine.tolist())
-                text_hash = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                text_hash = hash_of(text)
                 out.append((doc_id, text_hash, len(words), None, text, None, None, None, None, None))
                 kept.append((doc_id, text_hash, words, x, at, h))
             automaton = _automaton(phrases)
@@ -193,6 +193,11 @@ def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
 
 
+def hash_of(text: str) -> int:
+    """Spark's xxhash64 of a text."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
+
+
 def sha256(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -263,15 +268,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     as they were, others are the kept words joined by spaces."""
     spark = common.configure(docs.sparkSession)
     _, cuts = _located(docs.select("doc_id", "text"), window, phrase)
-    cuts = cuts.select(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), "cuts")
-    joined = docs.join(cuts, docs["doc_id"] == F.col("cut_id"), "left")
+    cuts = cuts.select(F.col("doc_id").alias("__attestry_id"), F.col("text_hash").alias("__attestry_hash"), F.col("cuts").alias("__attestry_cuts"))
+    joined = docs.join(cuts, (docs["doc_id"] == F.col("__attestry_id")) & (F.xxhash64(docs["text"]) == F.col("__attestry_hash")), "left")
     columns, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def task():
         def f(x):
             keep = []
-            for i, (text, cuts_, mark) in enumerate(zip(x["text"], x["cuts"], x["cut_hash"], strict=True)):
-                if cuts_ and xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) == mark:
+            for i, (text, cuts_) in enumerate(zip(x["text"], x["__attestry_cuts"], strict=True)):
+                if cuts_:
                     words = split(text)
                     covered = bytearray(len(words))
                     for c in cuts_:
@@ -284,4 +289,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
         return f
 
-    return common.stream(joined.select(*columns, "cuts", "cut_hash"), task, kinds)
+    return common.stream(joined.select(*columns, "__attestry_cuts"), task, kinds)

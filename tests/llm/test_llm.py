@@ -171,6 +171,8 @@ def test_near_duplicates_are_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (5, "a b")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(nulls).collect()] == [5, 5, 5]
+    apart = spark.createDataFrame([(None, line(rng, 50), 1), (None, line(rng, 50), 1), (7, line(rng, 50), 1), (7, line(rng, 50), 1), (7, None, 1), (8, "", 1)], "doc_id long, text string, kept_id int")
+    assert sorted(map(str, (r.doc_id for r in simhash.keep_first(apart.unionAll(apart)).collect()))) == ["7", "7", "7", "None", "None"]
 
 
 def test_bucket_links_in_a_dense_bucket():
@@ -242,6 +244,9 @@ def test_substring_dedup_is_brute_force(spark):
     assert substring.substring_dedup(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, texts[-1]), (1, texts[-1]), (None, texts[-1])], "doc_id long, text string")
     assert [r.n_removed for r in substring.substring_dedup(twice).collect()] == [0, 0, 0]
+    a, b = line(rng, 90), line(rng, 80)
+    again = spark.createDataFrame([(1, a), (1, b), (2, f"x {a}"), (2, f"y {b}"), (2, f"y {b}")], "doc_id long, text string")
+    assert sorted(r.text for r in substring.without_repeats(again).collect()) == sorted([a, b, "x", "y", "y"])
 
 
 def test_rolling_hash():
