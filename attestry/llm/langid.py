@@ -107,16 +107,18 @@ def fit_texts(texts: list[str], labels: list[str], landmarks_each: int = 24, rid
     return model
 
 
-def fit(labelled: DataFrame, rows_each: int = 250, max_chars: int = 20_000, max_languages: int = 200) -> Model:
-    """Fit on a bounded sample: at most `rows_each` texts of up to `max_chars` characters for each language,
-    those with the smallest hash of doc_id, and at most `max_languages` languages, in order of name.
+def fit(labelled: DataFrame, rows_each: int = 250, max_chars: int = 20_000, max_languages: int = 200, max_rows: int = 4000) -> Model:
+    """Fit on a bounded sample: at most `rows_each` texts of up to `max_chars` characters for each language, fewer if all
+    languages together would have over `max_rows`, those with the smallest hash of doc_id, and at most `max_languages`
+    languages, in order of name.
 
     labelled: doc_id, text, lang; rows with a null in text or lang and texts without letters take no part."""
     fits = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars))
     first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
     ids = fits.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows_each)
     ids = ids.withColumn("k", F.dense_rank().over(Window.orderBy("lang"))).where(F.col("k") <= max_languages)
-    chosen = ids.select(F.col("doc_id"), F.col("lang"))
+    share = F.lit(max_rows) / F.max("k").over(Window.partitionBy())
+    chosen = ids.withColumn("share", share).where(F.col("n") <= F.greatest(F.col("share"), F.lit(1.0))).select("doc_id", "lang")
     rows = fits.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").collect()
     rows = sorted({(r.doc_id, r.lang, r.text) for r in rows}, key=lambda r: (r[1], -1 if r[0] is None else r[0], r[2]))
     return fit_texts([r[2] for r in rows], [r[1] for r in rows])
