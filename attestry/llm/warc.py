@@ -25,7 +25,7 @@ from . import common
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 20
 #: Uncompressed bytes after which a bundle is closed; a record is never split.
-BUNDLE_BYTES = 32 << 20
+BUNDLE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, record_id string, bundle string, frame int, offset long, length long"
