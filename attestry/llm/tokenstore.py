@@ -128,7 +128,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     # Payloads are compressed already; uid names a row of the staged table.
     rows = common.staged(encoded(docs, tokenizer, end_id, width).withColumn("uid", F.monotonically_increasing_id()), "encoded", compression="none")
     packs = common.partitions(spark)
-    bounds = sorted(set(rows.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / packs for i in range(1, packs)], 0.2 / packs)))
+    cuts_ = [i / packs for i in range(1, packs)]
+    bounds = sorted(set(rows.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", cuts_, 0.2 / packs))) if cuts_ else []
     pack = _pack(F.col("doc_id"), [int(x) for x in bounds])
     totals = rows.groupBy(pack.alias("pack")).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).orderBy("pack").collect()  # one row a pack
     first, at = {}, 0
