@@ -30,20 +30,24 @@ HASH = "__attestry_text_hash"
 BLOCK = 1 << 20
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """64-bit SimHash of the text's word shingles, A-Z lower-cased; 0 for no words (a signed number)."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the text's word shingles, A-Z lower-cased; fewer words than the width: of the whole sequence; none for no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     if len(words) <= width:
-        h = np.array([hashed(line, SEED)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(sizes)
-        starts = (ends - sizes)[: len(words) - width + 1].tolist()
-        h = np.array([hashed(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+        return np.array([hashed(line, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes)[: len(words) - width + 1].tolist()
+    return np.array([hashed(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """64-bit SimHash of the text's word shingles, A-Z lower-cased; 0 for no words (a signed number)."""
+    h = shingle_hashes(text, width)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         bits = np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -198,8 +202,14 @@ def keep_first(docs: DataFrame, radius: int = 4, width: int = 5) -> DataFrame:
     common.configure(docs.sparkSession)
     text = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
     prints = common.staged(fingerprints(docs.select("doc_id", "text", text.alias(HASH)), width, HASH), "fingerprints")
+    return keep_rows(docs, prints.join(_components(prints, radius).select("fp", "label"), "fp"))
+
+
+def keep_rows(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Of the rows of docs one for each label. labelled: doc_id, hash of the text, label of every row."""
+    text = F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", HASH))
-    kept = prints.join(_components(prints, radius).select("fp", "label"), "fp").groupBy("label").agg(first.alias("row"))
+    kept = labelled.groupBy("label").agg(first.alias("row"))
     kept = kept.select(F.col("row.doc_id").alias(f"{HASH}_id"), F.col(f"row.{HASH}").alias(f"{HASH}_kept"))
     marked = docs.withColumn(HASH, text)
     same = marked["doc_id"].eqNullSafe(F.col(f"{HASH}_id")) & (F.col(HASH) == F.col(f"{HASH}_kept"))

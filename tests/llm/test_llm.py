@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from attestry.llm import ann, common, components, decontam, html, langid, packing, queries, simhash, substring, tokens, tokenstore, toxicity, warc
+from attestry.llm import ann, common, components, decontam, html, langid, neardup, packing, queries, simhash, substring, tokens, tokenstore, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "a", "the the the the the the", "É" * 300, "x " * 6000, "tab\x0bvt\x1cfs word", "日本語 テキスト ñ é", "<|endoftext|> hi", "é combining", " nbsp em"]
@@ -175,6 +175,45 @@ def test_near_duplicates_are_brute_force(spark):
     assert sorted(map(str, (r.doc_id for r in simhash.keep_first(apart.unionAll(apart)).collect()))) == ["7", "7", "7", "None", "None"]
 
 
+def test_near_dedup_stage_is_brute_force_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    texts = [*ODD]
+    common_line = line(rng, 30)
+    for n in (8, 30, 60, 60, 120, 250):
+        base = line(rng, n)
+        texts += [base, f"{common_line} {base}", base.upper()]
+        for k in range(24):
+            w = base.split()
+            for _ in range(rng.randint(1, 1 + n // 40)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice((["zz"], [], ["yy", "xx"]))
+            texts.append(" ".join(w) if k % 3 else " ".join(w[: len(w) * rng.randint(80, 100) // 100]))
+    df = docs(spark, texts)
+    words = [[x.decode() for x in (t or "").encode().lower().split()] for t in texts]
+    sets = [set(slow_shingles(w)) for w in words]
+    parent, far = list(range(len(texts))), 0
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    prints = [slow_print(t, 5) for t in texts]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if 5 * both >= 4 * either:  # no words: equal
+            far += (prints[a] ^ prints[b]).bit_count() > 4
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert far > 50
+    want = sorted({find(i) for i in range(len(texts))})
+    kept = corpus_pipeline.simhash_near_dedup(spark, df.unionAll(df.where("doc_id in (3, 13)")).repartition(3), SF)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want and len(want) < len(texts) - 30
+    assert neardup.keep_first(df.limit(0)).count() == 0
+    apart = spark.createDataFrame([(None, texts[-1]), (None, texts[20]), (7, texts[-1]), (7, line(rng, 50))], "doc_id long, text string")
+    assert sorted(map(str, (r.doc_id for r in neardup.keep_first(apart.unionAll(apart)).collect()))) == ["7", "7", "None"]
+
+
 def test_bucket_links_in_a_dense_bucket():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 64, 3, np.uint64)
