@@ -2,7 +2,8 @@
 
 The library spends most of its time on offsets and normalisation. Byte-level BPE works on each piece
 that the pre-tokenizer cuts, independently, so texts of plain characters are cut here and each distinct
-piece goes through the library's BPE model once. Any other text goes through the library whole.
+piece goes through the library's BPE model once. Any other text goes through the library whole, as does
+a text with the content of an added token, such as <|endoftext|>, which the library makes one id.
 """
 
 from __future__ import annotations
@@ -57,10 +58,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         self.cut, self.lower = self._scheme(kind)
+        self.added = self._added(kind)
         self.pieces = _Pieces(self.whole.model)
 
     @staticmethod
@@ -73,10 +74,16 @@ class Encoder:
             return _UNSPACED, True
         return None, False
 
+    @staticmethod
+    def _added(kind: dict) -> re.Pattern | None:
+        """Contents of added tokens. Case is ignored: a token may be looked for in the normalised text."""
+        contents = [re.escape(x["content"]) for x in kind.get("added_tokens") or () if x["content"]]
+        return re.compile("|".join(contents), re.IGNORECASE) if contents else None
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.cut is None or not _PLAIN.fullmatch(text):
+        if self.cut is None or not _PLAIN.fullmatch(text) or self.added and self.added.search(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.pieces) > MEMORY:
             self.pieces.age()

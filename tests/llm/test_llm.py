@@ -50,6 +50,20 @@ def test_encoder_is_the_library(name):
     assert enc.encode("hello there") == tokens_before and enc.encode(None) == b""
 
 
+@pytest.mark.parametrize("name, n", [("byte_bpe_50k.json", 4), ("word_bpe_49k.json", 3)])
+def test_encoder_is_the_untouched_library(name, n):
+    from tokenizers import Tokenizer
+
+    path = common.public_tokenizer(name)
+    whole, enc = Tokenizer.from_file(path), tokens.Encoder(path)
+    assert len(enc.encode("one <|endoftext|> two")) == 4 * n
+    rng = random.Random(1)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "don't", "One", "2", "é", "語", "a"]
+    texts = [t for t in ODD if t] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    for t in texts:
+        assert enc.encode(t) == struct.pack(f"<{len(ids := whole.encode(t, add_special_tokens=False).ids)}I", *ids), repr(t)
+
+
 # Packing
 
 
