@@ -4,15 +4,13 @@ Windows as long as a benchmark item get a SimHash fingerprint; a multi-index of
 finds every item of that length within the radius (two fingerprints within r bits agree on one of r + 1 blocks);
 exact weighted-shingle similarity, the sum of smaller over the sum of larger counts, verifies.
 
-A window that reaches the similarity shares a run of the item's shingles, so windows are laid only where a
-document has a shingle of an item, at every `stride` words, where no such run is shorter than the stride.
-The words of a document stay in its task: only windows are dealt out.
+A window that reaches the similarity has at least `needed` places with a shingle of the item, so every window
+with that many is laid, whatever its alignment, and no other. Places are counted without the words; only the words of
+windows are dealt out.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,17 +46,15 @@ def _left(b: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), b)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays of shingles, counts being the weights."""
+def shared(a: Column, b: Column) -> Column:
+    """How many shingles two arrays share, repeats included."""
     count = lambda x, s: F.size(F.filter(x, lambda y: y == s))
-    both = F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s)))
-    return both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0))
+    return F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s)))
 
 
-def guaranteed_run(n_shingles: int, threshold: float) -> int:
-    """The shortest that the longest run of shared shingles can be if the similarity reaches the threshold."""
-    lost = math.floor(n_shingles * (1 - threshold) + 1e-9)
-    return max(1, math.ceil((n_shingles - lost) / (lost + 1)))
+def needed(n_shingles: Column, n_window: Column, threshold: float) -> Column:
+    """The fewest shingles that an item and a window of so many share if the similarity reaches the threshold."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(threshold / (1 + threshold)) * (n_shingles + n_window) - 1e-9))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = 5, radius: int = 24) -> DataFrame:
@@ -79,27 +75,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
     hint = F.broadcast if sum(r.total for r in sizes) <= BROADCAST_SHINGLES else (lambda x: x)
     shingle_hash = lambda c, at, w: F.xxhash64(*[F.get(c, F.col(at) + k) for k in range(w)])
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     # Passes over the documents: one, unless the benchmark's shingles are too many for one broadcast.
     passes = -(-sum(r.total for r in sizes) // BROADCAST_SHINGLES)
     found = []
     for w in sorted({r.w for r in sizes}):
-        stride = min(guaranteed_run(r.n - r.w + 1, threshold) for r in sizes if r.w == w)
-        own = items.where(F.col("w") == w).select("n", "item_words", F.explode(F.sequence(F.lit(0), F.col("n") - w)).alias("at"))
-        own = common.staged(own.select("n", "at", shingle_hash("item_words", "at", w).alias("item_h")).distinct(), "shingles")
+        own = items.where(F.col("w") == w).select("item_id", "n", "item_words", F.explode(F.sequence(F.lit(0), F.col("n") - w)).alias("at"))
+        own = common.staged(own.select("item_id", "n", shingle_hash("item_words", "at", w).alias("item_h")).distinct(), "shingles")
         # The outer form keeps Spark from splitting each text twice, once for a filter that it would infer. From here to the
         # join rows are variables of one generated loop, so the words are not copied for places without a hit.
-        places = F.when(F.size("words") >= w, F.sequence(F.lit(0), F.size("words") - w, F.lit(stride)))
-        each = docs.select("doc_id", words(F.col("text")).alias("words")).select("doc_id", "words", F.explode_outer(places).alias("p"))
-        each = each.select("doc_id", "words", "p", shingle_hash("words", "p", w).alias("h"))
-        first = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.size("words") - F.col("n")))
+        places = F.when(F.size("words") >= w, F.sequence(F.lit(0), F.size("words") - w))
+        each = docs.select("doc_id", "text_hash", words(F.col("text")).alias("words")).select("doc_id", "text_hash", "words", F.explode_outer(places).alias("p"))
+        each = each.select("doc_id", "text_hash", F.size("words").alias("size"), "p", shingle_hash("words", "p", w).alias("h"))
         for k in range(passes):
             part = F.broadcast(own.where(F.pmod("item_h", F.lit(passes)) == k))
-            laid = each.join(part, (F.col("h") == F.col("item_h")) & F.col("p").isNotNull())
-            found.append(laid.select("doc_id", first.alias("start"), "n", F.lit(w).alias("w"), F.slice("words", first + 1, F.col("n")).alias("window")))
-    windows = found[0]
+            hits = each.join(part, (F.col("h") == F.col("item_h")) & F.col("p").isNotNull())
+            found.append(hits.select("doc_id", "text_hash", "size", "item_id", "n", F.lit(w).alias("w"), "p"))
+    hits = found[0]
     for more in found[1:]:
-        windows = windows.unionAll(more)
-    windows = common.staged(windows.distinct(), "windows")
+        hits = hits.unionAll(more)
+    n_item, n_window = F.col("n") - F.col("w") + 1, F.least("n", "size") - F.col("w") + 1
+    hits = hits.groupBy("doc_id", "text_hash", "size", "item_id", "n", "w").agg(F.collect_set("p").alias("places"))
+    hits = hits.where(F.size("places") >= needed(n_item, n_window, threshold))
+    # Every window over a place, one start if the document is shorter than the item.
+    hits = hits.withColumn("p", F.explode("places")).drop("places")
+    over = F.sequence(F.greatest(F.lit(0), F.col("p") - n_item + 1), F.least("p", F.greatest(F.lit(0), F.col("size") - F.col("n"))))
+    laid = hits.withColumn("start", F.explode(over)).groupBy("doc_id", "text_hash", "size", "item_id", "n", "w", "start").count()
+    laid = laid.where(F.col("count") >= needed(n_item, n_window, threshold))
+    laid = laid.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n", "w")).alias("laid"))
+    laid = common.staged(laid.select(F.col("doc_id").alias("laid_id"), F.col("text_hash").alias("laid_hash"), "laid"), "laid")
+    same = docs["doc_id"].eqNullSafe(F.col("laid_id")) & (F.col("text_hash") == F.col("laid_hash"))
+    windows = docs.join(laid, same).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("words"), "laid")
+    windows = common.staged(windows, "texts").select("doc_id", "text_hash", "words", F.explode("laid").alias("at"))
+    windows = windows.select("doc_id", "text_hash", "at.*", F.slice("words", F.col("at.start") + 1, F.col("at.n")).alias("window"))
+    windows = common.staged(windows, "windows")
     windows = common.staged(windows.withColumn("shingles", shingles(F.col("window"), F.least(F.col("w"), F.size("window")))).drop("window"), "windows")
     windows = common.staged(windows.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s))), "windows")
     windows = common.staged(windows.withColumn("fp", simhash(F.col("hashes"))).drop("hashes"), "windows")
@@ -114,7 +123,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     # Of the blocks that agree, only the first counts, so that a pair comes once.
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.array_position(F.transform(F.array(*[_shift(differ, F.lit(x)).bitwiseAND(F.lit((1 << (y - x)) - 1)) for x, y in zip(cuts, cuts[1:], strict=False)]), lambda x: x == 0), True) - 1
-    pairs = near.where(F.col("block") == first).withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles")))
+    sizes_ = (F.size("shingles") + F.size("item_shingles")).alias("sizes")
+    # Staged, as Spark would count anew wherever the count is used.
+    pairs = near.where(F.col("block") == first).select("doc_id", "text_hash", "item_id", "start", "n", sizes_, shared(F.col("shingles"), F.col("item_shingles")).alias("both"))
+    pairs = common.staged(pairs, "pairs").withColumn("similarity", F.col("both") / F.nullif(F.col("sizes") - F.col("both"), F.lit(0)))
     best = pairs.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id")
     top = best.agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "n")).alias("best"))
     return top.select("doc_id", "item_id", (-F.col("best.minus")).alias("start"), F.col("best.n").alias("n_words"), F.col("best.similarity").alias("similarity"))

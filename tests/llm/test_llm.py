@@ -362,6 +362,34 @@ def test_decontamination_is_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_decontamination_with_shifted_windows(spark):
+    rng = random.Random(21)
+    items = [line(rng, n) for n in (55, 57, 60, 40)]
+    texts = []
+    for k in range(60):
+        w = rng.choice(items).split()
+        if k % 5 == 4:  # halves that change places keep almost all shingles
+            w = w[len(w) // 2 :] + w[: len(w) // 2]
+        for _ in range(rng.randint(1, 3)):
+            at = rng.choice((1, 2, 3, len(w) - 3, len(w) - 2, rng.randrange(len(w))))
+            if rng.random() < 0.5:
+                w.insert(at, rng.choice(WORDS))
+            else:
+                del w[at]
+        texts.append(f"{line(rng, rng.randint(0, 30))} {' '.join(w)} {line(rng, rng.randint(0, 30))}")
+    want, shares = {}, [slow_shingles(x.split()) for x in items]
+    for i, t in enumerate(texts):
+        words = t.split()
+        for j, item in enumerate(items):
+            n = len(item.split())
+            best = max(slow_similarity(slow_shingles(words[s : s + n]), shares[j]) for s in range(max(1, len(words) - n + 1)))
+            if best >= 0.8:
+                want[i, j] = best
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert got == pytest.approx(want) and len(want) > 15
+
+
 # WARC
 
 
