@@ -63,6 +63,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     start is the window's first word; of equal windows the first counts. Items without words and null texts match
     nothing; a document shorter than an item is one window. Repeated rows are one; equal items each match. Empty
     tables give no rows. Columns other than doc_id and text, item_id and text take no part."""
+    best = matches(docs, benchmark, threshold, width, radius).groupBy("doc_id", "item_id")
+    top = best.agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "n")).alias("best"))
+    return top.select("doc_id", "item_id", (-F.col("best.minus")).alias("start"), F.col("best.n").alias("n_words"), F.col("best.similarity").alias("similarity"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float, width: int, radius: int) -> DataFrame:
+    """doc_id, text_hash, item_id, start, n, similarity of every window that reaches the threshold."""
     spark = common.configure(docs.sparkSession)
     items = benchmark.select("item_id", words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
     items = items.select("item_id", F.size("item_words").alias("n"), F.least(F.size("item_words"), F.lit(width)).alias("w"), "item_words")
@@ -72,7 +79,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items = common.staged(items.withColumn("item_fp", simhash(F.col("hashes"))).drop("hashes"), "items")
     sizes = items.groupBy("w", "n").agg(F.sum(F.size("item_shingles")).alias("total")).collect()  # one row for each length
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, start int, n int, similarity double")
     hint = F.broadcast if sum(r.total for r in sizes) <= BROADCAST_SHINGLES else (lambda x: x)
     shingle_hash = lambda c, at, w: F.xxhash64(*[F.get(c, F.col(at) + k) for k in range(w)])
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -127,12 +134,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     # Staged, as Spark would count anew wherever the count is used.
     pairs = near.where(F.col("block") == first).select("doc_id", "text_hash", "item_id", "start", "n", sizes_, shared(F.col("shingles"), F.col("item_shingles")).alias("both"))
     pairs = common.staged(pairs, "pairs").withColumn("similarity", F.col("both") / F.nullif(F.col("sizes") - F.col("both"), F.lit(0)))
-    best = pairs.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id")
-    top = best.agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "n")).alias("best"))
-    return top.select("doc_id", "item_id", (-F.col("best.minus")).alias("start"), F.col("best.n").alias("n_words"), F.col("best.similarity").alias("similarity"))
+    return pairs.where(F.col("similarity") >= threshold).select("doc_id", "text_hash", "item_id", "start", "n", "similarity")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("__attestry_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__attestry_bad_id"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = 5, radius: int = 24) -> DataFrame:
+    """docs without the rows that hold a benchmark item, whatever their doc_id: a null one, or one that other texts have too."""
+    bad = matches(docs, benchmark, threshold, width, radius).select(F.col("doc_id").alias("__attestry_bad_id"), F.col("text_hash").alias("__attestry_bad_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__attestry_bad_id")) & (F.xxhash64(docs["text"]) == F.col("__attestry_bad_hash")), "left_anti")

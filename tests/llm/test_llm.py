@@ -390,6 +390,14 @@ def test_decontamination_with_shifted_windows(spark):
     assert got == pytest.approx(want) and len(want) > 15
 
 
+def test_decontaminate_goes_by_row(spark):
+    rng = random.Random(22)
+    item, a, b = line(rng, 40), line(rng, 60), line(rng, 60)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rows = spark.createDataFrame([(None, f"{a} {item}"), (None, a), (7, f"{item} {b}"), (7, b), (8, None)], "doc_id long, text string")
+    assert sorted(map(str, (r.text for r in decontam.decontaminate(rows, bench).collect()))) == sorted(["None", a, b])
+
+
 # WARC
 
 
