@@ -9,6 +9,7 @@ a text with the content of an added token, such as <|endoftext|>, which the libr
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 
@@ -51,6 +52,12 @@ class _Pieces(dict):
         self.clear()
 
 
+def _literal(contents: list[str]) -> str:
+    """A pattern of one of the contents that starts with what they have in common."""
+    start = os.path.commonprefix(contents)
+    return re.escape(start) + "(?:" + "|".join(re.escape(x[len(start) :]) for x in contents) + ")"
+
+
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
 
@@ -76,9 +83,11 @@ class Encoder:
 
     @staticmethod
     def _added(kind: dict) -> re.Pattern | None:
-        """Contents of added tokens. Case is ignored: a token may be looked for in the normalised text."""
-        contents = [re.escape(x["content"]) for x in kind.get("added_tokens") or () if x["content"]]
-        return re.compile("|".join(contents), re.IGNORECASE) if contents else None
+        """Contents of added tokens; case is ignored if one is looked for in the normalised text."""
+        added = [x for x in kind.get("added_tokens") or () if x["content"]]
+        flags = re.IGNORECASE if any(x.get("normalized", True) for x in added) else 0
+        # A common start first: the search for a literal start is fast.
+        return re.compile(_literal([x["content"] for x in added]), flags) if added else None
 
     def encode(self, text: str | None) -> bytes:
         if not text:
