@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sharing import with_checkpoints
+
 
 def first_by_key(df: DataFrame, keys: list[str], ord_column: str = "ord") -> DataFrame:
-    """The first row of each key in order; null keys are a key."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(ord_column))).where("__rank = 1").drop("__rank")
+    """The first row of each key in order; null keys are a key. A minimum combines before the shuffle, so a hot key is one row a task."""
+    out = df.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*df.columns), ord_column).alias("__first"))
+    return out.select("__first.*")
 
 
 def similar_pairs(vectors: DataFrame, tolerance: float, block_rows: int = 2000) -> DataFrame:
@@ -49,7 +50,8 @@ def similar_pairs(vectors: DataFrame, tolerance: float, block_rows: int = 2000)
     spark = vectors.sparkSession
     rows = vectors.select(F.col("id").cast("long"), F.col("vector").cast("array<double>"))
     rows = rows.repartition(max(1, spark.sparkContext.defaultParallelism), F.xxhash64("id")).sortWithinPartitions("id")
-    blocks = rows.mapInArrow(pack, "block long, ids binary, x binary").checkpoint() if spark.sparkContext.getCheckpointDir() else rows.mapInArrow(pack, "block long, ids binary, x binary")
+    with_checkpoints(spark)
+    blocks = rows.mapInArrow(pack, "block long, ids binary, x binary").checkpoint()
     names = [r.block for r in blocks.select("block").collect()]  # one for each block
     place = F.create_map(*[x for n, b in enumerate(names) for x in (F.lit(b), F.lit(n))]) if names else F.create_map(F.lit(0).cast("long"), F.lit(0))
     numbered = blocks.withColumn("n", F.element_at(place, F.col("block")))
@@ -66,10 +68,7 @@ def greedy_removed(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
 
     By rounds: an undecided id whose smaller partners are all removed is kept, and removes its larger partners. The result is
     that of the scan. Each round is a table in the checkpoint folder; chains of length n need n rounds at worst."""
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        # Only without spark.checkpoint.dir, as in tests: a cluster names a shared folder.
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestry-"))
+    spark = with_checkpoints(pairs.sparkSession)
     edges = pairs.where("i < j").select("i", "j").distinct().checkpoint()
     removed = spark.createDataFrame([], "id long").checkpoint()
     for _ in range(max_rounds):
