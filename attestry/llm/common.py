@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,33 +11,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sharing import shared_folder
+
 #: Words: everything between ASCII white space.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 WORD = re.compile(WORD_PATTERN)
-#: Rows of an Arrow batch; whole texts can be long, so far fewer than Spark's 10,000.
-BATCH_ROWS = 1000
-
-_own_folder: dict[str, str] = {}
+#: Rows and bytes of an Arrow batch. Texts can be long, so bytes are what bounds a worker; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Session settings that bound the memory of a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only if unset."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="attestry-")
-        spark.sparkContext.setCheckpointDir(_own_folder[app])
-    return f"file://{_own_folder[app]}"
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/attestry/{name}-{uuid.uuid4().hex}"
 
@@ -75,18 +64,35 @@ def arrow_schema(schema: str) -> pa.Schema:
 
 
 def stream(df: DataFrame, each: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow over column lists. `each` runs once in a task and returns the function of a batch."""
+    """mapInArrow over column lists. `each` runs once in a task and returns the function of a batch; what that function has as
+    `end` is called when the task's rows are over or the task ends otherwise, so that a reused worker keeps nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = each()
-        for batch in batches:
-            out = f({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in kinds], schema=kinds)
+        try:
+            for batch in batches:
+                out = f({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in kinds], schema=kinds)
+        finally:
+            getattr(f, "end", int)()
 
     kinds = arrow_schema(schema)
     return df.mapInArrow(run, schema)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """A staged table dealt by `key` (hash) into as many buckets as there are shuffle partitions: later joins and groups by that
+    key alone move the other side, not these rows."""
+    spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"attestry_{uuid.uuid4().hex}"
+    n = partitions(spark)
+    df.repartition(n, key).write.bucketBy(n, key).format("parquet").options(compression="zstd", path=path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolves it, so that the catalog's entry can go; the files stay
+    spark.sql(f"DROP TABLE {table}")
+    out.staged_at = path
+    return out
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[x for x in df.columns if x in names])
 

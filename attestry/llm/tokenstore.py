@@ -79,7 +79,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
-    """Ids of each row's whole text (null: empty) and the end id, cut into chunks."""
+    """Ids of each row's whole text (null: empty) and the end id, cut into chunks. An id that `width` bytes don't hold is an error."""
 
     def task():
         enc, end, packer = encoder(tokenizer), int(end_id).to_bytes(4, "little"), zstandard.ZstdCompressor(level=2)
@@ -88,6 +88,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
             out = {k: [] for k in ("n_tokens", "digests", "sizes", "payload")}
             parts = [enc.encode(text) + end for text in x["text"]]
             ids = np.frombuffer(b"".join(parts), "<u4")
+            if width < 4 and len(ids) and int(ids.max()) >> 8 * width:
+                raise ValueError(f"id {ids.max()} doesn't fit in {width} bytes")
             data = ids.astype(f"<u{width}").tobytes()
             marks, at = marks_of(ids), 0  # of the whole batch; a span within a document doesn't see its neighbours
             for part in parts:
@@ -102,13 +104,20 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
                 at += n
             return out | {"doc_id": x["doc_id"]}
 
+        f.end = enc.forget
         return f
 
     return common.stream(docs.select(F.col("doc_id").cast("long"), "text"), task, ENCODED)
 
 
+#: Encoded bytes of a pack; there are as many packs as shuffle partitions at least.
+PACK_BYTES = 64 << 20
+
+
 @dataclass(frozen=True)
 class Manifest:
+    """What a store holds. It lies beside the packs, so that any session can verify the store."""
+
     path: str
     width: int
     n_documents: int
@@ -116,18 +125,27 @@ class Manifest:
     packs: dict[str, str]
     root: str
 
-    def json(self) -> str:
-        return json.dumps(asdict(self), sort_keys=True)
+    def save(self, spark: SparkSession) -> Manifest:
+        line = json.dumps(asdict(self), sort_keys=True)
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{self.path}/manifest")
+        return self
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Manifest:
+        """The manifest of the store at a path; the store may have been moved there."""
+        return Manifest(**(json.loads(spark.read.text(f"{path}/manifest").first().value) | {"path": path}))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2) -> Manifest:
-    """Write the store and return its manifest; rows of equal doc_id follow one another, null ids come first.
+    """Write the store and its manifest; rows of equal doc_id follow one another, null ids come first.
 
-    An empty table gives a store without rows."""
+    Packs are ranges of doc_id, dealt in that order, so part files are in order too. An empty table gives a store without
+    rows; null and empty texts are the end id alone; a very long text is one row. Repeated rows are stored as often as they
+    come, their chunks once. Columns other than doc_id and text take no part."""
     spark = common.configure(docs.sparkSession)
     # Payloads are compressed already; uid names a row of the staged table.
     rows = common.staged(encoded(docs, tokenizer, end_id, width).withColumn("uid", F.monotonically_increasing_id()), "encoded", compression="none")
-    packs = common.partitions(spark)
+    packs = max(common.partitions(spark), -(-(rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) // PACK_BYTES))
     cuts_ = [i / packs for i in range(1, packs)]
     bounds = sorted(set(rows.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", cuts_, 0.2 / packs))) if cuts_ else []
     pack = _pack(F.col("doc_id"), [int(x) for x in bounds])
@@ -136,13 +154,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     for r in totals:
         first[r.pack], at = at, at + r.n
     places = rows.select("uid", "doc_id", pack.alias("pack"), F.posexplode("digests").alias("i", "digest"))
-    shared = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("uid", "i")).alias("owner")).where("n > 1").select("digest", "owner")
+    # Staged, so that the join with a chunk that very many documents hold can be split.
+    shared = common.staged(places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("uid", "i")).alias("owner")).where("n > 1").select("digest", "owner"), "shared")
     marks = places.join(shared, "digest").select("uid", "doc_id", "pack", F.struct("i", (F.struct("uid", "i") == F.col("owner")).alias("owns")).alias("mark"))
     marks = marks.groupBy("pack", "doc_id", "uid").agg(F.collect_list("mark").alias("marks"))
     # A document's marks and its row are dealt by pack and meet in sorted order, so payloads are dealt out once.
     whole = rows.select(pack.alias("pack"), "doc_id", "uid", F.lit(1).alias("is_row"), "n_tokens", "digests", "sizes", "payload", F.lit(None).cast("array<struct<i:int,owns:boolean>>").alias("marks"))
     dealt = whole.unionByName(marks.withColumn("is_row", F.lit(0)), allowMissingColumns=True)
-    dealt = dealt.repartition(packs, "pack").sortWithinPartitions("pack", F.col("doc_id").asc_nulls_first(), "uid", "is_row")
+    dealt = dealt.repartitionByRange(packs, "pack").sortWithinPartitions("pack", F.col("doc_id").asc_nulls_first(), "uid", "is_row")
 
     def task():
         packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
@@ -180,10 +199,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
 
     names = [x.split()[0] for x in STORED.split(", ")]
     columns = ["pack", "doc_id", "n_tokens", "digests", "sizes", "payload", "marks"]
-    common.stream(dealt.select(*columns), task, STORED).write.option("compression", "none").parquet(path)
-    common.drop_staged(rows)
-    roots = _pack_roots(spark.read.schema(STORED).parquet(path))
-    return Manifest(path, width, sum(r.docs for r in totals), at, roots, merkle_root([bytes.fromhex(x) for x in roots.values()]).hex())
+    common.stream(dealt.select(*columns), task, STORED).write.option("compression", "none").parquet(f"{path}/packs")
+    common.drop_staged(rows, shared)
+    roots = _pack_roots(spark.read.schema(STORED).parquet(f"{path}/packs"))
+    return Manifest(path, width, sum(r.docs for r in totals), at, roots, merkle_root([bytes.fromhex(x) for x in roots.values()]).hex()).save(spark)
 
 
 def _pack(doc_id: Column, bounds: list[int]) -> Column:
@@ -220,7 +239,7 @@ def read_store(spark: SparkSession, manifest: Manifest, ids: bool = False) -> Da
 
     Every chunk is checked against its digest and every document against its Merkle root, and the packs against the
     manifest; a mismatch is an error."""
-    store = spark.read.schema(STORED).parquet(manifest.path)
+    store = spark.read.schema(STORED).parquet(f"{manifest.path}/packs")
     if (found := _pack_roots(store)) != manifest.packs or merkle_root([bytes.fromhex(x) for x in found.values()]).hex() != manifest.root:
         raise ValueError("the store differs from its manifest")
     docs = store.where("kind = 'doc'").select("doc_id", "start", "n_tokens", "digests", "sizes", "shared", "root", "payload")
@@ -263,7 +282,8 @@ def read_store(spark: SparkSession, manifest: Manifest, ids: bool = False) -> Da
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write docs to a store in the shared folder and read it back: one row for each row of docs."""
+    """Write docs to a store in the shared folder and read it back by its manifest there: one row for each row of docs."""
     spark = common.configure(docs.sparkSession)
-    manifest = write_store(docs, common.new_path(spark, "tokens"), tokenizer, end_id)
-    return read_store(spark, manifest)
+    path = common.new_path(spark, "tokens")
+    write_store(docs, path, tokenizer, end_id)
+    return read_store(spark, Manifest.load(spark, path))
