@@ -37,7 +37,6 @@ def test_encoder_is_the_library(name):
 
     path = common.public_tokenizer(name)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     enc = tokens.Encoder(path)
     rng = random.Random(0)
     chars = "abcABC 0129 '’sStTdDlL.,!?-_\n\t\réüßÀÿªº²½µ×÷¡§­<|>"
@@ -124,12 +123,17 @@ def test_store_round_trip_and_damage(spark):
         ids = enc.encode(t) + struct.pack("<I", 2)
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (i, at, len(ids) // 4, zlib.crc32(ids), ids)
         at += len(ids) // 4
-    chunks = spark.read.schema(tokenstore.STORED).parquet(manifest.path)
+    assert tokenstore.Manifest.load(spark, manifest.path) == manifest
+    chunks = spark.read.schema(tokenstore.STORED).parquet(f"{manifest.path}/packs")
     stored = chunks.where("kind = 'chunk'").select(F.col("digests")[0]).collect()
     assert stored and len(stored) == len({bytes(r[0]) for r in stored})
     other = tokenstore.Manifest(**(manifest.__dict__ | {"root": "00"}))
     with pytest.raises(ValueError):
         tokenstore.read_store(spark, other)
+    with pytest.raises(Exception, match="doesn't fit"):
+        tokenstore.write_store(df, common.new_path(spark, "t"), path, 70_000)
+    wide = tokenstore.write_store(df.where("doc_id < 5"), common.new_path(spark, "t"), path, 70_000, width=4)
+    assert sorted(r.n_tokens for r in tokenstore.read_store(spark, wide).collect())[:3] == [1, 1, 1]
     empty = tokenstore.write_store(df.limit(0), common.new_path(spark, "t"), path, 2)
     assert tokenstore.read_store(spark, empty).count() == 0
 
