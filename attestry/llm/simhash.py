@@ -1,10 +1,12 @@
 """SimHash near-duplicates: pivot distance tables over distinct fingerprints.
 
-Documents with equal fingerprints are one class, and only classes are compared. Two fingerprints within r
-bits agree on at least two of r + 2 blocks, so each class is dealt to one bucket for each pair of blocks. In
-a bucket a table holds the Hamming distances of each fingerprint to the pivots; by the triangle inequality a pair
-whose rows differ by more than r anywhere is discarded, and what survives is verified. A bucket gives a
-spanning forest of its links, so links grow with the number of classes, not with its square.
+Documents with equal fingerprints are one class, and only classes are compared. Each class has a row in the pivot
+table, its Hamming distances to PIVOTS reference fingerprints, which is computed once and goes where the class goes. By the
+triangle inequality a pair whose rows differ by more than r anywhere isn't within r bits: it is discarded, and what survives
+is verified. Coordinates alone can't deal out 64-bit fingerprints (a window of r passes over half of all pairs), so classes meet in
+cells: two fingerprints within r bits agree on at least k of r + k blocks, so each class goes to one cell for each choice of
+k blocks, with k by the number of classes. A cell gives a spanning forest of its links, so links grow with the number of classes,
+not with its square; a crowded cell is dealt out anew by blocks of the rotated fingerprint.
 """
 
 from __future__ import annotations
@@ -15,15 +17,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
 
 SEED = 42
-#: Pivots of a table.
-PIVOTS = 12
+#: Pivots of a table: eight distances to a column.
+PIVOTS = 32
+TABLE = [f"d{i}" for i in range(PIVOTS // 8)]
+#: Classes of a cell, beyond which it is dealt out anew.
+CROWDED = 4096
+#: Classes up to which two blocks, or three, make a cell; the cells of four hold about as many classes at 2**33.
+CELLS_OF = ((1 << 22, 2), (1 << 28, 3))
 #: A column of ours beside those of docs.
 HASH = "__attestry_text_hash"
 #: Pairs looked at together.
@@ -89,8 +97,23 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among rows with equal keys (rows sorted by key and fp), as two arrays of fingerprints."""
+def pivot_table(fp: Column) -> list[Column]:
+    """Distances to the pivots, eight bytes in each column."""
+    signed = pivots().view(np.int64).tolist()
+    one = lambda i: F.bit_count(fp.bitwiseXOR(F.lit(signed[i]))).cast("long")
+    columns = []
+    for k, name in enumerate(TABLE):
+        out = one(8 * k)
+        for i in range(1, 8):
+            out = out.bitwiseOR(F.shiftleft(one(8 * k + i), 8 * i))
+        columns.append(out.alias(name))
+    return columns
+
+
+def bucket_links(key: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among rows with equal keys (rows sorted by key and fp), as two arrays of fingerprints.
+
+    table: the rows' distances to the pivots (signed bytes). seen: counts of pairs compared, discarded by the table, verified, linked."""
     n = len(key)
     parent = np.arange(n)
     shared = np.zeros(n, bool)
@@ -98,10 +121,9 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, points: np.ndarra
         same = key[1:] == key[:-1]
         shared[1:] |= same
         shared[:-1] |= same
-    table = np.zeros((n, len(points)), np.int16)
-    table[shared] = np.bitwise_count(fp[shared, None] ^ points[None])  # the pivot distance table
     live = np.flatnonzero(shared)
     step = 1
+    seen = [0, 0, 0, 0] if seen is None else seen
     while len(live):
         live = live[live + step < n]
         live = live[key[live] == key[live + step]]
@@ -111,11 +133,14 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, points: np.ndarra
             if step > 8:  # rows that are connected already need no link
                 apart = _root(parent, a) != _root(parent, b)
                 a, b = a[apart], b[apart]
-            for p in range(len(points)):
+            seen[0] += len(a)
+            for p in range(table.shape[1]):
                 near = np.abs(table[a, p] - table[b, p]) <= radius
                 a, b = a[near], b[near]
+            seen[2] += len(a)
             near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
             _join(parent, a[near], b[near])
+            seen[3] += int(near.sum())
         step += 1
         if step & (step - 1) == 0 and len(live):
             # A bucket that is one component is done.
@@ -123,72 +148,86 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, radius: int, points: np.ndarra
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             whole = np.minimum.reduceat(root, start) == np.maximum.reduceat(root, start)
             live = live[~np.repeat(whole, np.diff(np.r_[start, n]))[live]]
+    seen[1] = seen[0] - seen[2]
     root = _root(parent, np.arange(n))
     hung = np.flatnonzero(root != np.arange(n))
     return fp[hung], fp[root[hung]]
 
 
-def links(classes: DataFrame, radius: int) -> DataFrame:
-    """edges(a, b) whose components are those of the graph on distinct fp that links fps within radius bits."""
-    blocks = radius + 2
+def _cells(fp: Column, radius: int, agree: int, salt: Column | None = None) -> Column:
+    """The cells of a fingerprint: one for each choice of `agree` of radius + agree blocks."""
+    blocks = radius + agree
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    pairs = list(combinations(range(blocks), 2))
+    part = [F.shiftrightunsigned(fp, x).bitwiseAND(F.lit((1 << (y - x)) - 1)) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return F.array(*[F.xxhash64(*([] if salt is None else [salt]), F.lit(n), *[part[i] for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), agree))])
 
-    def part(k: int):
-        width = cuts[k + 1] - cuts[k]
-        return F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << width) - 1)), width
 
-    keys = []
-    for n, (i, j) in enumerate(pairs):
-        (x, _), (y, w) = part(i), part(j)
-        keys.append((F.lit(n) * F.lit(1 << 40) + F.shiftleft(x, w) + y).cast("long"))
-    dealt = classes.select("fp", F.explode(F.array(*keys)).alias("key"))
+def links(classes: DataFrame, radius: int, agree: int | None = None, crowded: int = CROWDED, counts: list[Accumulator] | None = None) -> DataFrame:
+    """edges(a, b) whose components are those of the graph on distinct fp that links fps within radius bits.
+
+    classes: fp, of a table that is cheap to read again. agree: how many blocks make a cell; any number gives the same components.
+    counts: accumulators of the pairs compared, discarded by the pivot table, verified, and linked."""
     spark = classes.sparkSession
-    dealt = dealt.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "fp")
+    if agree is None:
+        n = classes.count()
+        agree = next((k for most, k in CELLS_OF if n <= most), 4)
+    known = classes.select("fp", *pivot_table(F.col("fp")))
+    dealt = known.withColumn("key", F.explode(_cells(F.col("fp"), radius, agree)))
+    full = common.staged(classes.select(F.explode(_cells(F.col("fp"), radius, agree)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"), "crowded")
+    if not full.isEmpty():
+        # Within the radius the rotated fingerprints agree on as many of their blocks, so no pair is lost.
+        turned = F.shiftleft("fp", 5).bitwiseOR(F.shiftrightunsigned("fp", 59))
+        again = dealt.join(full, "key").withColumn("key", F.explode(_cells(turned, radius, agree, F.col("key"))))
+        dealt = dealt.join(full, "key", "left_anti").select(*again.columns).unionAll(again)
+    dealt = dealt.select("key", "fp", *TABLE).repartition(common.partitions(spark), "key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = pivots()
-        rest: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_links(key, fp, radius, points)
+        rest: list[list[np.ndarray]] = []
+
+        def flush(columns: list[np.ndarray]) -> pa.RecordBatch:
+            key, fp, *table = columns
+            seen = [0, 0, 0, 0]
+            a, b = bucket_links(key, fp.view(np.uint64), np.stack(table, 1).view(np.int8), radius, seen)
+            for total, x in zip(counts or (), seen, strict=False):
+                total.add(x)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            key = batch.column(1).to_numpy(zero_copy_only=False)
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            rest.append((key, fp))
-            if key[-1] == rest[0][0][0] or sum(len(k) for k, _ in rest) < 1 << 16:
+            rest.append([np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns])
+            last = rest[-1][0][-1]
+            if last == rest[0][0][0] or sum(len(x[0]) for x in rest) < 1 << 16:
                 continue
-            key, fp = (np.concatenate(x) for x in zip(*rest, strict=True))
-            cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-            rest = [(key[cut:], fp[cut:])]
+            whole = [np.concatenate(x) for x in zip(*rest, strict=True)]
+            cut = int(np.searchsorted(whole[0], last))  # the last cell may go on
+            rest = [[x[cut:] for x in whole]]
             if cut:
-                yield flush(key[:cut], fp[:cut])
+                yield flush([x[:cut] for x in whole])
         if rest:
-            key, fp = (np.concatenate(x) for x in zip(*rest, strict=True))
-            yield flush(key, fp)
+            yield flush([np.concatenate(x) for x in zip(*rest, strict=True)])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _components(prints: DataFrame, radius: int) -> DataFrame:
+def _components(prints: DataFrame, radius: int, counts: list[Accumulator] | None = None) -> DataFrame:
     """fp, id (the smallest doc_id with it), label (equal within a component) of every fingerprint: a staged table."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    labels = connected_components(links(classes, radius))
-    return common.staged(classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("label")), "classes")
+    classes = common.staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "prints")
+    labels = connected_components(links(classes, radius, counts=counts))
+    out = common.staged(classes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("label")), "classes")
+    common.drop_staged(classes)
+    return out
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, counts: list[Accumulator] | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row.
 
     Null and empty texts have fingerprint zero and link like any other. Rows with a null doc_id keep it and
-    don't count for the smallest. Repeated rows give repeated rows. An empty table gives no rows. Other columns take no part."""
+    don't count for the smallest. Repeated rows give repeated rows. An empty table gives no rows. Other columns take no part.
+    A bit that just half of the hashes have is not set. counts: see links."""
     common.configure(docs.sparkSession)
     prints = common.staged(fingerprints(docs, width), "fingerprints")
-    grouped = _components(prints, radius)
+    grouped = _components(prints, radius, counts)
     least = grouped.groupBy("label").agg(F.min("id").alias("component_id"))
     members = grouped.join(least, "label").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")

@@ -228,6 +228,9 @@ def test_near_dedup_stage_is_brute_force_jaccard(spark):
     kept = corpus_pipeline.simhash_near_dedup(spark, df.unionAll(df.where("doc_id in (3, 13)")).repartition(3), SF)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want and len(want) < len(texts) - 30
     assert neardup.keep_first(df.limit(0)).count() == 0
+    neardup.CELL, before = 3, neardup.CELL  # keys with many classes are dealt out in cells
+    assert sorted(r.doc_id for r in neardup.keep_first(df).collect()) == want
+    neardup.CELL = before
     apart = spark.createDataFrame([(None, texts[-1]), (None, texts[20]), (7, texts[-1]), (7, line(rng, 50))], "doc_id long, text string")
     assert sorted(map(str, (r.doc_id for r in neardup.keep_first(apart.unionAll(apart)).collect()))) == ["7", "7", "None"]
 
@@ -236,8 +239,42 @@ def test_bucket_links_in_a_dense_bucket():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 64, 3, np.uint64)
     fps = np.unique(np.array([c ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for c in centre for a, b in rng.integers(0, 64, (300, 2))]))
-    a, b = simhash.bucket_links(np.zeros(len(fps), np.int64), fps, 4, simhash.pivots())
+    table = np.bitwise_count(fps[:, None] ^ simhash.pivots()[None]).astype(np.int8)
+    seen = [0, 0, 0, 0]
+    a, b = simhash.bucket_links(np.zeros(len(fps), np.int64), fps, table, 4, seen)
     assert len(a) == len(fps) - 3 and (np.bitwise_count(a ^ b) < 64).all()
+    assert seen[0] == seen[1] + seen[2] and seen[1] > 0.9 * (seen[0] - seen[3]) and seen[2] >= seen[3] > 0
+
+
+def test_cells_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 60, np.uint64)
+    fps = [int(x) for x in base]
+    for x in base:
+        for k in (3, 4, 4, 5):
+            y = int(x)
+            for bit in rng.choice(64, k, replace=False):
+                y ^= 1 << int(bit)
+            fps.append(y)
+    fps = sorted(set(fps))
+    frame = common.staged(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long"), "fps")
+    parent = {x: x for x in fps}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in itertools.combinations(fps, 2):
+        if (a ^ b).bit_count() <= 4:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    want = len({find(x) for x in fps})
+    for agree, crowded in ((2, 4096), (3, 4096), (4, 4096), (2, 2)):  # the last: every cell that matters is dealt anew
+        counts = [spark.sparkContext.accumulator(0) for _ in range(4)]
+        edges = common.staged(simhash.links(frame, 4, agree, crowded, counts), "edges")
+        labels = {r.node: r.label for r in components.connected_components(edges).collect()}
+        got = {x: labels.get(x - (1 << 64) if x >> 63 else x, x) for x in fps}
+        assert len(set(got.values())) == want
+        assert counts[0].value == counts[1].value + counts[2].value and counts[3].value >= len(fps) - want
 
 
 def test_components(spark):
@@ -258,6 +295,29 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_coordinates_discard_no_similar_pair():
+    rng = np.random.default_rng(0)
+    kept = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 900))
+        a = rng.integers(0, 1 << 64, n, np.uint64)
+        b = a.copy()
+        k = int(rng.integers(0, max(1, n // 3)))
+        b[:k] = rng.integers(0, 1 << 64, k, np.uint64)
+        b = b[: n - int(rng.integers(0, max(1, n // 10)))]
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        may = bool(neardup.can_reach(np.array([len(a)]), np.array([len(b)]), neardup.coordinates(a)[None], neardup.coordinates(b)[None], 0.8)[0])
+        assert may or both < 0.8 * (len(a) + len(b) - both)
+        kept += may
+        if both >= 0.9 * (len(a) + len(b) - both):
+            assert np.isin(neardup.signature(a), neardup.signature(b)).any()
+    assert 0 < kept < 400
+    far = [np.unique(rng.integers(0, 1 << 64, 300, np.uint64)) for _ in range(2)]
+    assert not neardup.can_reach(300, 300, *(neardup.coordinates(x) for x in far), 0.8)
+    assert len(neardup.signature(np.zeros(0, np.uint64))) == 0 and len(set(neardup.signature(far[0]).tolist())) == neardup.BANDS
+
+
 # Substring
 
 
