@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
                     at, piece = at + size, piece + 1
             return out
 
-        f.end = enc.forget
+        f.end = enc.rest
         return f
 
     return common.stream(docs.select(F.col("doc_id").cast("long"), "text"), task, PIECES)

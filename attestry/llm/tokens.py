@@ -22,7 +22,7 @@ _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACED = re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
 _UNSPACED = re.compile(f"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 _UNSPACED_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces of a generation, two of which are remembered by a task: some 100 MB at most. They go when the task ends.
+#: Pieces of a generation, two of which are remembered in a worker: some 100 MB at most, and about 60 MB between tasks.
 MEMORY = 300_000
 
 
@@ -89,9 +89,9 @@ class Encoder:
         # A common start first: the search for a literal start is fast.
         return re.compile(_literal([x["content"] for x in added]), flags) if added else None
 
-    def forget(self) -> None:
-        """Drop what is remembered of pieces."""
-        self.pieces = _Pieces(self.whole.model)
+    def rest(self) -> None:
+        """Between tasks only the pieces used last stay in memory."""
+        self.pieces.elder = {}
 
     def encode(self, text: str | None) -> bytes:
         if not text:

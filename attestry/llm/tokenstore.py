@@ -104,7 +104,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
                 at += n
             return out | {"doc_id": x["doc_id"]}
 
-        f.end = enc.forget
+        f.end = enc.rest
         return f
 
     return common.stream(docs.select(F.col("doc_id").cast("long"), "text"), task, ENCODED)
