@@ -1,16 +1,22 @@
 """Substring dedup by repeated-phrase automata.
 
-Anchors: of the phrases of `phrase` words in a window the one with the smallest hash is its anchor, so equal windows
-have equal anchors, and few phrases are anchors. Anchors that recur in other documents are confirmed by their
-words and sent to the documents that hold them; each task compiles an Aho-Corasick automaton over the
-phrases of a shard of documents (pyahocorasick) and streams those documents through it to locate every
-occurrence. Windows around located anchors are then compared over all documents by 128-bit hashes.
+1. Places. Of the phrases of `phrase` words in a window the one with the smallest hash is its anchor, so equal windows have equal
+   anchors. Consecutive windows with one anchor are a run. Anchors whose hash more than one document has are places to look at.
+2. Confirmed phrases. The words at those places are read, and what recurs in another document by its words is a phrase.
+3. Automata. Phrases are dealt to the shards of documents (SHARD_CHARS of text) where they may occur; each shard compiles an
+   Aho-Corasick automaton over its phrases (pyahocorasick) and every document of the shard is streamed through it. What the automaton
+   locates, and nothing else, is compared further. Phrases are sent to documents since the other way, each document through
+   each shard of phrases, costs documents times phrases.
+4. Windows. Runs around located phrases that have equal words, by BLAKE2 digests of the words, are one class, led by its
+   smallest document; later documents lose them. Leaders of a phrase's several classes compare their windows one by one.
+
+Documents are dealt out once, into buckets; all later steps move places, phrases and digests to them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -23,24 +29,15 @@ from . import common
 
 WINDOW = 50
 PHRASE = 12
-#: Words remembered at most in a worker.
-MEMORY = 400_000
 #: Documents of a shard's automaton: by text up to about this many characters together.
 SHARD_CHARS = 4 << 20
+#: Bytes that are hashed together, and the length beyond which a word is hashed alone.
+SPAN_BYTES, LONG_WORD = 1 << 20, 1 << 16
+#: The row key of dealt documents.
+ROW = "__attestry_row"
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-
-class _Words(dict):
-    def __missing__(self, w: str) -> int:
-        v = self[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
-        return v
-
-
-def hashes(words: list[str], memory: _Words) -> np.ndarray:
-    if len(memory) > MEMORY:
-        memory.clear()
-    return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
+_A = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x100000001B3
 
 
 def rolling(x: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
@@ -65,6 +62,58 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+_powers: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, as far as a span goes."""
+    if not _powers:
+        for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.full(SPAN_BYTES + 1, x, np.uint64)
+            out[0] = 1
+            _powers.append(np.multiply.accumulate(out))
+    return _powers
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and hashes of the words of a text's bytes. Words are hashed all at once, from prefix sums over a span of bytes."""
+    power, inverse = _tables()
+    starts, hashed, at = [], [], 0
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    while at < len(data):
+        end = min(len(data), at + SPAN_BYTES)
+        if end < len(data) and not space[end]:
+            gaps = np.flatnonzero(space[at:end])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:  # a word over a whole span, which is hashed alone
+                rest = np.flatnonzero(space[end:])
+                end = end + int(rest[0]) if len(rest) else len(data)
+                starts.append(np.array([at]))
+                hashed.append(np.array([xxhash.xxh64_intdigest(data[at:end].tobytes())], np.uint64))
+                at = end
+                continue
+        part, gap = data[at:end], space[at:end]
+        edge = np.diff(np.concatenate(([1], gap.view(np.int8), [1])))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        h = (sums[last] - sums[first]) * inverse[first]
+        for i in np.flatnonzero(last - first > LONG_WORD).tolist():
+            h[i] = xxhash.xxh64_intdigest(part[first[i] : last[i]].tobytes())
+        starts.append(first + at)
+        hashed.append(h)
+        at = end
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(starts), _mix(np.concatenate(hashed))
+
+
 def anchor_of(x: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window its anchor's place (the last of equal smallest), and all phrase hashes."""
     h = _mix(rolling(x, phrase, _A))
@@ -85,42 +134,68 @@ def split(text: str | None) -> list[str]:
     return common.WORD.findall(text) if text else []
 
 
-def anchors(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """doc_id, anchor hash: each anchor of each document once."""
+def plain(text: str | None) -> str:
+    """The words joined by one space each."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").split()).decode("utf-8", "surrogatepass") if text else ""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Words()
-        for batch in batches:
-            ids, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = split(text)
-                if doc_id is not None and len(words) >= window:
-                    at, h = anchor_of(hashes(words, memory), window, phrase)
-                    one = np.unique(h[np.unique(at)])
-                    found.append(one.view(np.int64))
-                    ids.append(np.full(len(one), doc_id, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], ["doc_id", "anchor"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long")
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Shards of rows, sorted by doc_id: as many documents as have SHARD_CHARS together."""
-    rows: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows.append(row)
-            size += len(row[1] or "")
-            if size >= SHARD_CHARS:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+
+RUNS = "row long, doc_id long, first int, n int, place int, anchor long"
 
 
-def _automaton(phrases: Iterator[str]) -> ahocorasick.Automaton:
+def runs_of(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """Each run of each document: its first window, how many windows, the anchor's place and hash. docs: row, doc_id (not null), text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, doc_id = (batch.column(i).to_numpy() for i in (0, 1))
+            text = batch.column(2).cast(pa.large_binary())
+            offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+            data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] else np.zeros(0, np.uint8)
+            for a, b in _spans(offsets):
+                out = _runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, phrase)
+                if out is not None:
+                    own, *columns = out
+                    yield pa.RecordBatch.from_arrays([pa.array(row[a + own]), pa.array(doc_id[a + own]), *map(pa.array, columns)], names=names)
+
+    names = [x.split()[0] for x in RUNS.split(", ")]
+    return docs.select("row", "doc_id", "text").mapInArrow(run, RUNS)
+
+
+def _spans(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about a span of bytes, a longer row alone."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SPAN_BYTES, "right")) - 1)
+        yield a, min(b, n)
+        a = b
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, window: int, phrase: int) -> tuple | None:
+    """(row, first, n, place, anchor) of the runs of the rows between the offsets."""
+    # A row's end parts words, which a space between rows does.
+    n = len(offsets) - 1
+    spaced = np.full(len(data) + n, 32, np.uint8)
+    moved = offsets + np.arange(n + 1)
+    keep = np.ones(len(spaced), bool)
+    keep[moved[1:] - 1] = False
+    spaced[keep] = data
+    starts, x = word_hashes(spaced)
+    if len(x) < window:
+        return None
+    edges = np.searchsorted(starts, moved)  # each row's first word
+    row = np.repeat(np.arange(n), np.diff(edges))
+    at, h = anchor_of(x, window, phrase)
+    whole = np.flatnonzero(row[: len(at)] == row[window - 1 :])  # windows within one row
+    if not len(whole):
+        return None
+    at, own = at[whole], row[whole]
+    begin = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])])
+    size = np.diff(np.r_[begin, len(at)])
+    own, at = own[begin], at[begin]
+    return own, (whole[begin] - edges[own]).astype(np.int32), size.astype(np.int32), (at - edges[own]).astype(np.int32), h[at].view(np.int64)
+
+
+def automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
     """Over phrases with a space at both ends, so that only whole words match."""
     out = ahocorasick.Automaton()
     for p in phrases:
@@ -130,146 +205,187 @@ def _automaton(phrases: Iterator[str]) -> ahocorasick.Automaton:
     return out
 
 
-def occurrences(line: str, starts: np.ndarray, automaton: ahocorasick.Automaton) -> np.ndarray:
-    """Word places of all phrases in ` word word ... `; starts: where each word begins in it."""
-    if not len(automaton):
-        return np.zeros(0, np.int64)
-    found = [end - size + 2 for end, size in automaton.iter(line)]
-    return np.unique(np.searchsorted(starts, np.array(found, np.int64)))
+def occurrences(line: str, words: list[str], machine: ahocorasick.Automaton) -> list[int]:
+    """Word places of all phrases in ` word word ... `."""
+    found = [end - size + 2 for end, size in machine.iter(line)] if len(machine) else []
+    if not found:
+        return []
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return np.unique(np.searchsorted(np.cumsum(sizes) - sizes + 1, np.array(found, np.int64))).tolist()
 
 
-#: One row for each document (first is null), and one for each run of windows that share a located anchor.
-LOCATED = "doc_id long, text_hash long, n_words long, kept_sha256 string, text string, first int, n int, anchor long, segment long, windows array<long>"
+def _digest(words: str) -> int:
+    return int.from_bytes(hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def located_runs(routed: DataFrame, window: int, phrase: int) -> DataFrame:
-    """Locate the confirmed phrases in a shard's documents and describe the windows around them.
+def sha256(line: str) -> str:
+    return hashlib.sha256(line.encode("utf-8", "surrogatepass")).hexdigest()
 
-    routed: doc_id, text, anchors (hashes that recur, or null). A document without any is done at once; of the others
-    the text is kept. `segment` is equal for runs of equal words, `windows` holds a hash of each window."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Words()
-        for rows in _grouped(batches):
-            out: list[tuple] = []
-            kept, phrases = [], set()
-            for doc_id, text, known in rows:
-                words = split(text)
-                if not known or len(words) < window:
-                    out.append((doc_id, None, len(words), sha256(words), None, None, None, None, None, None))
-                    continue
-                x = hashes(words, memory)
-                at, h = anchor_of(x, window, phrase)
-                mine = np.unique(at)
-                mine = mine[np.isin(h[mine], np.array(known, np.int64).view(np.uint64))]
-                phrases.update(" ".join(words[i : i + phrase]) for i in mine.tolist())
-                text_hash = hash_of(text)
-                out.append((doc_id, text_hash, len(words), None, text, None, None, None, None, None))
-                kept.append((doc_id, text_hash, words, x, at, h))
-            automaton = _automaton(phrases)
-            for doc_id, text_hash, words, x, at, h in kept:
-                sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-                places = occurrences(f" {' '.join(words)} ", np.cumsum(sizes) - sizes + 1, automaton)
-                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                ends = np.r_[starts[1:], len(at)]
-                use = np.isin(at[starts], places)
-                a, b = (_mix(rolling(x, window, f)) for f in (_A, _B))
-                signed = a.view(np.int64)
-                for i, j in zip(starts[use].tolist(), ends[use].tolist(), strict=True):
-                    place = int(at[i])
-                    segment = hash((int(a[i]), int(b[i]), int(a[j - 1]), int(b[j - 1]), j - i, place - i))
-                    out.append((doc_id, text_hash, None, None, None, i, j - i, int(h[place].view(np.int64)), segment, signed[i:j]))
-                if len(out) > 5000:
-                    yield _batch(out, kinds)
-                    out = []
-            yield _batch(out, kinds)
+def phrases_at(docs: DataFrame, phrase: int) -> DataFrame:
+    """The words at the places of each document, once a document. docs: row, doc_id, text, runs."""
 
-    kinds = common.arrow_schema(LOCATED)
-    return routed.select("doc_id", "text", "anchors").mapInArrow(run, LOCATED)
+    def task():
+        def f(x):
+            out = {"row": [], "doc_id": [], "phrase": []}
+            for row, doc_id, text, runs in zip(x["row"], x["doc_id"], x["text"], x["runs"], strict=True):
+                words = plain(text).split(" ")
+                found = sorted({" ".join(words[p : p + phrase]) for p in {r["place"] for r in runs}})
+                out["row"] += [row] * len(found)
+                out["doc_id"] += [doc_id] * len(found)
+                out["phrase"] += found
+            return out
+
+        return f
+
+    return common.stream(docs.select("row", "doc_id", "text", "runs"), task, "row long, doc_id long, phrase string")
 
 
-def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
+LOCATED = "row long, doc_id long, phrase long, class long, n int, firsts array<int>"
 
 
-def hash_of(text: str) -> int:
-    """Spark's xxhash64 of a text."""
-    return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
+def located(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """Stream every document through its shard's automaton and describe the runs around what is located.
 
+    docs: row, doc_id, text, phrases (that may occur; null: none of its own), runs. `class` is equal for runs of equal words with
+    the phrase at the same place; `firsts` are the first windows of such runs in the document."""
 
-def sha256(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _shards(batches):
+            machine = automaton({p for *_, phrases, _ in rows for p in phrases or ()})
+            out: dict[tuple, list[int]] = {}
+            for row, doc_id, text, _, runs in rows:
+                line = plain(text)
+                words = line.split(" ")
+                here = occurrences(f" {line} ", words, machine)
+                if not here or not runs:
+                    continue
+                here = set(here)
+                for r in runs:
+                    first, n, place = r["first"], r["n"], r["place"]
+                    if place in here:
+                        name = _digest(" ".join(words[place : place + phrase]))
+                        kind = _digest(f"{place - first} {' '.join(words[first : first + n + window - 1])}")
+                        out.setdefault((row, doc_id, name, kind, n), []).append(first)
+            if out:
+                columns = [*zip(*out, strict=True), list(out.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
 
+    kinds = common.arrow_schema(LOCATED)
+    return docs.select("row", "doc_id", "text", "phrases", "runs").mapInArrow(run, LOCATED)
 
-def _kept(found: DataFrame, window: int, text: bool) -> DataFrame:
-    """found: doc_id, n_words, text, cuts (structs of first window and count); removes the words that the windows cover."""
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    rows: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows.append(row)
+            size += len(row[2] or "")
+            if size >= SHARD_CHARS:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def _windows(docs: DataFrame, window: int) -> DataFrame:
+    """Each window of each leader's run. docs: row, doc_id, text, runs (phrase, n, firsts)."""
 
     def task():
         def f(x):
-            out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "text")}
-            for doc_id, source, cuts in zip(x["doc_id"], x["text"], x["cuts"], strict=True):
-                words = split(source)
-                edge = np.zeros(len(words) + 1, np.int64)
-                for c in cuts or ():
-                    edge[c["first"]] += 1
-                    edge[min(len(words), c["first"] + c["n"] + window - 1)] -= 1
-                covered = np.cumsum(edge)[:-1] > 0
-                kept = words if not covered.any() else [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                for k, v in zip(out, (doc_id, len(words), len(words) - len(kept), sha256(kept), " ".join(kept) if text else None), strict=True):
-                    out[k].append(v)
+            out = {k: [] for k in ("row", "doc_id", "phrase", "w", "first")}
+            for row, doc_id, text, runs in zip(x["row"], x["doc_id"], x["text"], x["runs"], strict=True):
+                words = plain(text).split(" ")
+                for r in runs:
+                    for first in r["firsts"]:
+                        for i in range(first, first + r["n"]):
+                            for k, v in zip(out, (row, doc_id, r["phrase"], _digest(" ".join(words[i : i + window])), i), strict=True):
+                                out[k].append(v)
             return out
 
         return f
 
-    return common.stream(found.select("doc_id", "text", "cuts"), task, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
-
-
-def _located(docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, DataFrame]:
-    """The staged rows of LOCATED, and doc_id, text_hash, cuts of the documents that lose words."""
-    common.configure(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = common.staged(anchors(docs, window, phrase), "anchors")
-    again = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    known = found.join(again, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    rows = common.staged(located_runs(docs.join(known, "doc_id", "left"), window, phrase), "located")
-    common.drop_staged(found)
-    runs = rows.where(F.col("first").isNotNull())
-    # Runs of equal words are one class, led by its smallest document; all later documents lose the whole run.
-    # Staged, so that the join with a run that very many documents hold can be split.
-    classes = common.staged(runs.groupBy("anchor", "segment").agg(F.min("doc_id").alias("leader")), "classes")
-    owned = common.staged(runs.select("doc_id", "text_hash", "first", "n", "anchor", "segment").join(classes, ["anchor", "segment"]), "owned")
-    later = owned.where("doc_id > leader").select("doc_id", "text_hash", "first", "n")
-    # A leader loses a window that another class of the same anchor holds in a smaller document.
-    several = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    leaders = owned.where("doc_id = leader").join(several, "anchor", "left_semi").select("doc_id", "text_hash", "first", "anchor", "segment")
-    leaders = leaders.join(runs.select("doc_id", "text_hash", "first", "windows"), ["doc_id", "text_hash", "first"])
-    each = common.staged(leaders.select("doc_id", "text_hash", "anchor", "first", F.posexplode("windows").alias("i", "w")).select("doc_id", "text_hash", "anchor", "w", (F.col("first") + F.col("i")).alias("first")), "windows")
-    least = each.groupBy("anchor", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "w", "low")
-    single = each.join(least, ["anchor", "w"]).where("low < doc_id").select("doc_id", "text_hash", "first", F.lit(1).alias("n"))
-    cuts = later.unionAll(single).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n")).alias("cuts"))
-    return rows, cuts
+    return common.stream(docs.select("row", "doc_id", "text", "runs"), task, "row long, doc_id long, phrase long, w long, first int")
+
+
+def _cuts(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
+    """row, cuts (first window and how many) of the rows that lose words. dealt: a table in buckets by ROW, with doc_id and text."""
+    docs = dealt.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    found = common.staged(runs_of(usable, window, phrase), "runs")
+    # What joins by anchor, phrase or class is staged first, so that a hot one can be split.
+    again = common.staged(found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
+    places = found.select("row", "first", "n", "place", "anchor").join(again, "anchor")
+    runs = common.staged(places.groupBy("row").agg(F.collect_list(F.struct("first", "n", "place")).alias("runs")), "places")
+    common.drop_staged(found, again)
+    said = common.staged(phrases_at(usable.join(runs, "row"), phrase), "phrases")
+    known = common.staged(said.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase"), "confirmed")
+    routed = said.select("row", "phrase").join(known, "phrase").groupBy("row").agg(F.collect_list("phrase").alias("phrases"))
+    # Both lists of a row in one table, as a document waits for one side only.
+    own = common.staged(runs.join(routed, "row", "left"), "routed")
+    common.drop_staged(runs, said, known)
+    rows = common.staged(located(usable.join(own, "row", "left"), window, phrase), "located")
+    classes = common.staged(rows.groupBy("phrase", "class").agg(F.min("doc_id").alias("leader")), "classes")
+    owned = common.staged(rows.join(classes, ["phrase", "class"]), "owned")
+    common.drop_staged(own, rows)
+    later = owned.where("doc_id > leader").select("row", F.explode("firsts").alias("first"), "n")
+    # A leader loses a window that another class of the phrase holds in a smaller document.
+    several = common.staged(classes.groupBy("phrase").agg(F.count("*").alias("k")).where("k > 1").select("phrase"), "several")
+    leaders = owned.where("doc_id = leader").join(several, "phrase").groupBy("row").agg(F.collect_list(F.struct("phrase", "n", "firsts")).alias("runs"))
+    each = common.staged(_windows(usable.join(leaders, "row"), window), "windows")
+    least = common.staged(each.groupBy("phrase", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase", "w", "low"), "least")
+    single = each.join(least, ["phrase", "w"]).where("low < doc_id").select("row", "first", F.lit(1).alias("n"))
+    cuts = common.staged(later.unionAll(single).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("cuts")), "cuts")
+    common.drop_staged(classes, owned, several, each, least)
+    return cuts
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    return common.bucketed(docs.withColumn(ROW, F.monotonically_increasing_id()), ROW, "documents")
+
+
+def kept(text: str | None, cuts: list[dict] | None, window: int) -> tuple[int, int, str]:
+    """Words, words removed, and the others joined by one space each."""
+    line = plain(text)
+    n = line.count(" ") + 1 if line else 0
+    if not cuts:
+        return n, 0, line
+    words, covered = line.split(" "), bytearray(n)
+    for c in cuts:
+        first, end = c["first"], min(n, c["first"] + c["n"] + window - 1)
+        covered[first:end] = b"\1" * (end - first)
+    left = [w for w, c in zip(words, covered, strict=True) if not c]
+    return n, n - len(left), " ".join(left)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row.
 
     A word goes if a window of `window` words covers it whose words also start in a document with a smaller
-    doc_id; windows are judged on the input. Null texts have no words. Rows with a null doc_id lose nothing and
-    take nothing. Rows that repeat a doc_id don't count as smaller. An empty table gives no rows."""
-    rows, cuts = _located(docs, window, phrase)
-    done = rows.where(F.col("first").isNull() & F.col("text").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    rest = rows.where(F.col("first").isNull() & F.col("text").isNotNull()).select("doc_id", "text_hash", "text")
-    return done.unionAll(_kept(rest.join(cuts, ["doc_id", "text_hash"], "left"), window, False).drop("text"))
+    doc_id; windows are judged on the input. Null and empty texts have no words; a very long text is a shard of its own. Rows with
+    a null doc_id lose nothing and take nothing. Rows that repeat a doc_id don't count as smaller. An empty table gives no rows.
+    Columns other than doc_id and text take no part."""
+    common.configure(docs.sparkSession)
+    dealt = _dealt(docs.select(F.col("doc_id").cast("long"), "text"))
+    cuts = _cuts(dealt, window, phrase).withColumnRenamed("row", ROW)
+
+    def task():
+        def f(x):
+            found = [kept(text, c, window) for text, c in zip(x["text"], x["cuts"], strict=True)]
+            return {"doc_id": x["doc_id"], "n_words": [n for n, _, _ in found], "n_removed": [n for _, n, _ in found], "kept_sha256": [sha256(t) for *_, t in found]}
+
+        return f
+
+    return common.stream(dealt.join(cuts, ROW, "left").select("doc_id", "text", "cuts"), task, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """docs with the repeated words gone from text, and documents that have no words left gone; texts that lose nothing are
-    as they were, others are the kept words joined by spaces."""
-    spark = common.configure(docs.sparkSession)
-    _, cuts = _located(docs.select("doc_id", "text"), window, phrase)
-    cuts = cuts.select(F.col("doc_id").alias("__attestry_id"), F.col("text_hash").alias("__attestry_hash"), F.col("cuts").alias("__attestry_cuts"))
-    joined = docs.join(cuts, (docs["doc_id"] == F.col("__attestry_id")) & (F.xxhash64(docs["text"]) == F.col("__attestry_hash")), "left")
+    as they were, others are the kept words joined by spaces. Other columns stay as they are; see substring_dedup for odd rows."""
+    common.configure(docs.sparkSession)
+    dealt = _dealt(docs)
+    cuts = _cuts(dealt, window, phrase).select(F.col("row").alias(ROW), F.col("cuts").alias("__attestry_cuts"))
     columns, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def task():
@@ -277,11 +393,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
             keep = []
             for i, (text, cuts_) in enumerate(zip(x["text"], x["__attestry_cuts"], strict=True)):
                 if cuts_:
-                    words = split(text)
-                    covered = bytearray(len(words))
-                    for c in cuts_:
-                        covered[c["first"] : c["first"] + c["n"] + window - 1] = b"\1" * min(len(words) - c["first"], c["n"] + window - 1)
-                    x["text"][i] = " ".join(w for w, c in zip(words, covered, strict=True) if not c)
+                    x["text"][i] = kept(text, cuts_, window)[2]
                     if not x["text"][i]:
                         continue
                 keep.append(i)
@@ -289,4 +401,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
         return f
 
-    return common.stream(joined.select(*columns, "__attestry_cuts"), task, kinds)
+    return common.stream(dealt.join(cuts, ROW, "left").select(*columns, "__attestry_cuts"), task, kinds)

@@ -358,6 +358,12 @@ def test_substring_dedup_is_brute_force(spark):
             assert hashlib.sha256(kept[i].encode()).hexdigest() == digest
         else:
             assert kept[i] == texts[i]
+    real = substring.automaton
+    try:  # what the automata don't locate isn't removed
+        substring.automaton = lambda phrases: real(())
+        assert all(r.n_removed == 0 for r in substring.substring_dedup(df).collect())
+    finally:
+        substring.automaton = real
     assert substring.substring_dedup(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, texts[-1]), (1, texts[-1]), (None, texts[-1])], "doc_id long, text string")
     assert [r.n_removed for r in substring.substring_dedup(twice).collect()] == [0, 0, 0]
@@ -366,6 +372,21 @@ def test_substring_dedup_is_brute_force(spark):
     assert sorted(r.text for r in substring.without_repeats(again).collect()) == sorted([a, b, "x", "y", "y"])
 
 
+def test_words_are_hashed_alike_everywhere():
+    rng = random.Random(2)
+    text = "  ".join(rng.choice(["a", "bé", "語語", "x" * 70_000, "\x1c", "y" * 30]) for _ in range(60)) + "\n" + "z" * (substring.SPAN_BYTES + 9) + " a"
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, h = substring.word_hashes(data)
+    words = substring.split(text)
+    assert [text.encode()[s : s + len(w.encode())].decode() for s, w in zip(starts.tolist(), words, strict=True)] == words
+    known = {}
+    for w, x in zip(words, h.tolist()):
+        assert known.setdefault(w, x) == x
+        assert substring.word_hashes(np.frombuffer(f" {w}".encode(), np.uint8))[1].tolist() == [x]
+    assert len(set(known.values())) == len(known) and len(substring.word_hashes(np.zeros(0, np.uint8))[0]) == 0
+    assert substring.plain(text).split(" ") == words and substring.plain(" \t") == substring.plain(None) == ""
+
+
 def test_rolling_hash():
     x = np.random.default_rng(0).integers(0, 1 << 63, 200, np.uint64)
     for n in (1, 2, 12, 39, 50):
