@@ -13,7 +13,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,14 +23,22 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: What ends a comment, and the parts of a tag. Each is matched where the scan stands, so a page is read once.
+_COMMENT_END = re.compile(r"--!?>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SPACE = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _TOKEN = re.compile(r"[a-z]+")
 
 # Element kinds of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "select", "button", "object"}
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "template"}
+CONTROLS = {"button", "select", "datalist"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+TRANSPARENT = {"noscript", "object", "svg", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "semantics"}
+HEAD = {"title", "meta", "link", "base", "script", "style", "template", "noscript"}
 #: An opening tag ends an open element of these kinds, up to the nearest of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 
@@ -46,7 +56,8 @@ TOKENS = [
     {"share", "social", "related", "recommended", "more", "trending", "popular", "tags", "tagcloud", "links", "byline", "meta", "author"},
     {"article", "content", "post", "entry", "main", "story", "body", "text", "page", "blog", "news"},
 ]
-OUTSIDE = {"head"}
+OUTSIDE = {"head", *CONTROLS}
+FLOWING = INLINE | TRANSPARENT
 #: Marks article words of generated pages: a private code point.
 MARK = "\ue000"
 
@@ -63,101 +74,210 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(source: str | None) -> Page:
-    """The page's block nodes. Broken markup never raises: unknown ends are ignored, open elements end with their parent."""
-    page = Page()
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, list[tuple[str, str]]]]:
+    """(first, end, name, is an end tag, attributes) of each tag; comments and declarations have an empty name. One pass: what
+    is looked for and not found is not looked for again."""
+    at, n = source.find("<"), len(source)
+    unclosed: set[str] = set()
+    while 0 <= at < n - 1:
+        c = source[at + 1]
+        if source.startswith("<!--", at):
+            if source.startswith((">", "->"), at + 4):
+                end = source.index(">", at) + 1
+            else:
+                m = _COMMENT_END.search(source, at + 4)
+                end = m.end() if m else n
+            yield at, end, "", False, []
+        elif c in "!?" or c == "/" and not _NAME.match(source, at + 2):
+            end = source.find(">", at) + 1
+            if not end and c == "/":
+                return
+            end = end or n
+            yield at, end, "", False, []
+        elif m := _NAME.match(source, at + 1 + (c == "/")):
+            name, ends, end = m[0].lower(), c == "/", m.end()
+            found: list[tuple[str, str]] = []
+            while True:
+                end = _SPACE.match(source, end).end()
+                if end >= n or source[end] == ">":
+                    break
+                k = _ATTRIBUTE.match(source, end)
+                end = k.end()
+                e = _EQUALS.match(source, end)
+                if not e:
+                    continue
+                end = e.end()
+                quote = source[end : end + 1]
+                close = source.find(quote, end + 1) if quote in ("'", '"') and quote not in unclosed else -1
+                if close >= 0:
+                    value, end = source[end + 1 : close], close + 1
+                else:
+                    if quote in ("'", '"'):  # never closed: the value ends as one without quotes does
+                        unclosed.add(quote)
+                    v = _UNQUOTED.match(source, end)
+                    value, end = v[0], v.end()
+                if len(k[0]) < 6:
+                    found.append((k[0].lower(), value))
+            closed = source[end - 1] == "/" if end else False
+            end = min(n, end + 1)
+            if closed:
+                found.append(("/", ""))
+            yield at, end, name, ends, found
+        else:
+            end = at + 1
+        at = source.find("<", end)
+        if at < 0:
+            return
 
-    def node(tag: str, parent: int, tokens: frozenset[str] = frozenset()) -> int:
-        for x, v in ((page.tag, tag), (page.parent, parent), (page.tokens, tokens), (page.tags, 0), (page.links, 0)):
-            x.append(v)
-        return len(page.tag) - 1
 
-    stack: list[tuple[str, int]] = [("", node("", -1))]  # element, nearest block node
-    text: list[str] = []
-    linked = outside = 0
+_raw_ends: dict[str, re.Pattern] = {}
+
+
+def _raw_end(name: str) -> re.Pattern:
+    if name not in _raw_ends:
+        _raw_ends[name] = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*(?:>|$)", re.I)
+    return _raw_ends[name]
+
 
-    def flush() -> None:
-        if text:
-            line = " ".join("".join(text).split())
+class _Parser:
+    """Builds a Page. The stack has open elements with their nearest block nodes; `open` has, by name, their places in it, and
+    `blocks` the places of block elements, so that nothing is looked for by going down the stack."""
+
+    def __init__(self) -> None:
+        self.page = Page()
+        self.stack: list[tuple[str, int]] = []
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.text: list[str] = []
+        self.linked = self.outside = 0
+        self.push("", self.node("", -1), True)
+
+    def node(self, tag: str, parent: int, tokens: frozenset[str] = frozenset()) -> int:
+        p = self.page
+        for x, v in ((p.tag, tag), (p.parent, parent), (p.tokens, tokens), (p.tags, 0), (p.links, 0)):
+            x.append(v)
+        return len(p.tag) - 1
+
+    def push(self, name: str, node: int, block: bool) -> None:
+        self.open.setdefault(name, []).append(len(self.stack))
+        if block:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, node))
+        self.linked += name == "a"
+        self.outside += name in OUTSIDE
+
+    def pop(self, n: int) -> None:
+        while len(self.stack) > n:
+            name = self.stack[-1][0]
+            if name not in FLOWING:
+                self.flush()
+            if self.blocks[-1] == len(self.stack) - 1:
+                self.blocks.pop()
+            self.open[name].pop()
+            self.linked -= name == "a"
+            self.outside -= name in OUTSIDE
+            self.stack.pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of these names; 0 for none."""
+        return max((self.open[x][-1] for x in names if self.open.get(x)), default=0)
+
+    def flush(self) -> None:
+        if self.text:
+            line = " ".join("".join(self.text).split())
             if line:
-                page.runs.append((stack[-1][1], line))
-            text.clear()
-
-    def pop(n: int) -> None:
-        nonlocal linked, outside
-        while len(stack) > n:
-            name = stack[-1][0]
-            if name not in INLINE:
-                flush()
-            linked -= name == "a"
-            outside -= name in OUTSIDE
-            stack.pop()
-
-    source, at = source or "", 0
-    while at < len(source):
-        m = _TAG.search(source, at)
-        piece = source[at : m.start() if m else len(source)]
-        if piece and not outside:
-            words = entities.unescape(piece) if "&" in piece else piece
-            text.append(words)
-            if linked:
-                page.links[stack[-1][1]] += len(words.strip())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        name, ends = m[2].lower(), bool(m[1])
-        if ends:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if k:
-                pop(k)
-            elif name in ("p", "br"):
-                flush()
-            continue
-        if name in RAW:
-            if name not in INLINE:
-                flush()
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
-            page.tags[stack[-1][1]] += 1
-            continue
-        if name in VOID:
-            if name not in INLINE:
-                flush()
-            page.tags[stack[-1][1]] += 1
-            continue
+                self.page.runs.append((self.stack[-1][1], line))
+            self.text.clear()
+
+    def words(self, piece: str) -> None:
+        if self.open.get("head") and not piece.isspace() and self.stack[-1][0] == "head":
+            self.pop(self.last(("head",)))
+        if self.outside:
+            return
+        words = entities.unescape(piece) if "&" in piece else piece
+        self.text.append(words)
+        if self.linked:
+            self.page.links[self.stack[-1][1]] += len(words.strip())
+
+    def end(self, name: str) -> None:
+        if k := self.last((name,)):
+            self.pop(k)
+        elif name in ("p", "br"):
+            self.flush()
+
+    def count(self, name: str) -> None:
+        """A tag without content."""
+        if name not in INLINE:
+            self.flush()
+        self.page.tags[self.stack[-1][1]] += 1
+
+    def start(self, name: str, found: list[tuple[str, str]]) -> None:
+        if name not in HEAD and (k := self.last(("head",))):
+            self.pop(k)
         if name in ENDS:
             kinds, within = ENDS[name]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in within:
-                    break
-                if stack[i][0] in kinds:
-                    last = i
-                    pop(last)
-                    break
-        if name not in INLINE:
-            if name != "body" and (k := next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)) and all(x[0] in INLINE for x in stack[k + 1 :]):
-                pop(k)
-            if name == "body" and outside:
-                pop(next(i for i in range(1, len(stack)) if stack[i][0] in OUTSIDE))
-            flush()
-            found = _ATTRIBUTE.findall(m[3]) if m[3] else ()
-            tokens = frozenset(t for _, v in found for t in _TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
-            block = node(name, stack[-1][1], tokens)
+            k = self.last(kinds)
+            if k and k > self.last(within):
+                self.pop(k)
+        if name in FLOWING or name in ("option", "optgroup") and self.outside:
+            block = self.stack[-1][1]
+            if name in INLINE:
+                self.page.tags[block] += 1
+            self.push(name, block, False)
+            return
+        if k := self.last(CONTROLS):  # an unclosed control ends where a block starts
+            self.pop(k)
+        if name in CONTROLS:
+            self.count(name)
+            self.push(name, self.stack[-1][1], False)
+            return
+        if name != "body" and self.stack[self.blocks[-1]][0] == "p":
+            self.pop(self.blocks[-1])
+        self.flush()
+        tokens = frozenset(t for k, v in found if k in ("class", "id", "role") for t in _TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
+        self.push(name, self.node(name, self.stack[-1][1], tokens), True)
+
+
+def parse(source: str | None) -> Page:
+    """The page's block nodes, in time that grows with its length. Broken markup never raises: unknown ends are ignored, open
+    elements end with their parent, a control ends where a block starts, a quote that is never closed is none."""
+    parser, source, at = _Parser(), source or "", 0
+    for first, end, name, ends, found in tags(source):
+        if first < at:  # within raw text
+            continue
+        if first > at:
+            parser.words(source[at:first])
+        at = end
+        if not name:
+            continue
+        if ends:
+            parser.end(name)
+        elif name in RAW:
+            parser.count(name)
+            if ("/", "") not in found or name in ("script", "style", "textarea", "title"):
+                m = _raw_end(name).search(source, at)
+                at = m.end() if m else len(source)
+        elif name == "xmp":  # displayed as it is
+            m = _raw_end(name).search(source, at)
+            parser.start(name, found)
+            parser.text.append(source[at : m.start() if m else len(source)])
+            parser.end(name)
+            at = m.end() if m else len(source)
+        elif name in VOID:
+            parser.count(name)
         else:
-            block = stack[-1][1]
-            page.tags[block] += 1
-        linked += name == "a"
-        outside += name in OUTSIDE
-        stack.append((name, block))
-    pop(1)
-    flush()
-    return page
+            parser.start(name, found)
+    if at < len(source):
+        parser.words(source[at:])
+    parser.pop(1)
+    parser.flush()
+    return parser.page
 
 
-N_FEATURES = len(TAGS) + 2 * len(TOKENS) + 9 + 16
+#: Elements whose descendants know of them.
+_SEMANTIC = {x: i for i, x in enumerate(["article", "main", "nav", "header", "footer", "aside", "form", "section", "table"])}
+_KIND = {t: k for k, names in reversed([*enumerate(TAGS)]) for t in names}
+N_FEATURES = len(TAGS) + 2 * len(TOKENS) + len(_SEMANTIC) + 16
 
 
 def features(page: Page) -> np.ndarray:
@@ -172,48 +292,48 @@ def features(page: Page) -> np.ndarray:
         place[i] = min(place[i], total)
         total += len(line)
     text, link, tags, marks, below, paragraphs = own.copy(), np.array(page.links, float), np.array(page.tags, float) + 1, sentences, np.zeros(n), np.array([float(t == "p") for t in page.tag])
-    children, index = np.zeros(n), np.zeros(n)
-    depth = np.zeros(n)
+    children, index, depth = [0] * n, [0] * n, [0] * n
     for i in range(1, n):
-        index[i] = children[page.parent[i]]
-        children[page.parent[i]] += 1
-        depth[i] = depth[page.parent[i]] + 1
+        p = page.parent[i]
+        index[i] = children[p]
+        children[p] += 1
+        depth[i] = depth[p] + 1
+    text, link, tags, marks, paragraphs, below, place = (x.tolist() for x in (text, link, tags, marks, paragraphs, below, place))
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
         for x in (text, link, tags, marks, paragraphs):
             x[p] += x[i]
         below[p] = max(below[p], below[i] + 1)
         place[p] = min(place[p], place[i])
+    text, link, tags, marks, paragraphs, below, place, children, index, depth = (np.array(x, float) for x in (text, link, tags, marks, paragraphs, below, place, children, index, depth))
     place[np.isinf(place)] = total
     parents = np.array(page.parent)
     parents[0] = 0
     out = np.zeros((n, N_FEATURES), np.float32)
-    kinds = len(TAGS) + len(TOKENS)
-    semantic = ["article", "main", "nav", "header", "footer", "aside", "form", "section", "table"]
-    base = kinds + len(TOKENS)
+    kinds, base = len(TAGS) + len(TOKENS), len(TAGS) + 2 * len(TOKENS)
+    own_bits, up_bits, marks_up = [0] * n, [0] * n, [0] * n  # attribute tokens, ancestors' tokens, semantic elements so far
     for i, (tag, tokens) in enumerate(zip(page.tag, page.tokens, strict=True)):
-        row = out[i]
-        for k, names in enumerate(TAGS):
-            if tag in names:
-                row[k] = 1
-                break
         if i:
-            up = out[page.parent[i]]
-            row[kinds:base] = np.maximum(up[kinds:base], up[len(TAGS) : kinds])
-            row[base : base + 9] = up[base : base + 9]
+            p = page.parent[i]
+            up_bits[i] = up_bits[p] | own_bits[p]
+            marks_up[i] = marks_up[p]
         if tokens:
             for k, names in enumerate(TOKENS):
                 if not names.isdisjoint(tokens):
-                    row[len(TAGS) + k] = 1
-        if tag in semantic:
-            row[base + semantic.index(tag)] = 1
+                    own_bits[i] |= 1 << k
+        if tag in _SEMANTIC:
+            marks_up[i] |= 1 << _SEMANTIC[tag]
+    which = np.array([_KIND.get(t, -1) for t in page.tag])
+    out[np.flatnonzero(which >= 0), which[which >= 0]] = 1
+    for at, bits, width in ((len(TAGS), own_bits, len(TOKENS)), (kinds, up_bits, len(TOKENS)), (base, marks_up, len(_SEMANTIC))):
+        out[:, at : at + width] = np.array(bits)[:, None] >> np.arange(width) & 1
     numbers = (
         np.log1p(text), np.log1p(own), link / np.maximum(text, 1), text / tags, marks / np.maximum(text, 1) * 100, np.log1p(children),
         depth, below, index, index / np.maximum(children[parents], 1), text / np.maximum(text[parents], 1), text / max(total, 1),
         place / max(total, 1), np.log1p(paragraphs), text[parents] / max(total, 1), link[parents] / np.maximum(text[parents], 1),
     )
     for k, x in enumerate(numbers):
-        out[:, base + 9 + k] = x
+        out[:, base + len(_SEMANTIC) + k] = x
     return out
 
 
@@ -276,8 +396,8 @@ def decode(page: Page, odds: np.ndarray, split: float = 1.0) -> list[bool]:
     for i, line in page.runs:
         words[i] += line.count(" ") + 1
     own = odds * (0.25 + np.minimum(np.sqrt(words), 8))
-    keep, drop, mixed = own.copy(), -own.copy(), np.where(words > 0, np.abs(own), 0) - split
-    best = np.zeros(n)
+    keep, drop, mixed, own = own.tolist(), (-own).tolist(), (np.where(words > 0, np.abs(own), 0) - split).tolist(), own.tolist()
+    best = [0.0] * n
     for i in range(n - 1, -1, -1):
         best[i] = max(keep[i], drop[i], mixed[i])
         if i:
@@ -419,6 +539,7 @@ class _Layout:
         return f"<!DOCTYPE html><html>{head}<body>{inside}</body></html>"
 
 
+@lru_cache(4)
 def train(pages: int = 700, seed: int = 11) -> Trees:
     """Train on generated pages. A node's label is what most of its text is; a node of both kinds counts less."""
     rng = random.Random(seed)
@@ -444,7 +565,9 @@ def train(pages: int = 700, seed: int = 11) -> Trees:
 def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row: the main text, character references decoded, white space as single spaces.
 
-    Null and empty html and pages without main text: empty text, 0. Repeated rows give repeated rows; an empty table none."""
+    Null and empty html and pages without main text: empty text, 0. Very long pages are read whole, in time that grows with their
+    length. Repeated rows give repeated rows; an empty table none. Of choices with equal odds the split one is taken. Columns other than
+    page_id, url and html take no part. The trees are trained once in a driver."""
     spark = common.configure(pages.sparkSession)
     shared = spark.sparkContext.broadcast(trees or train())
 
