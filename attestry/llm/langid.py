@@ -7,10 +7,10 @@ one-versus-rest kernel ridge regression is fitted on them, and a batch of texts
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ from . import common
 ORDERS = 4
 #: Hash buckets for the n-grams of one length.
 WIDTH = 1 << 16
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters by Unicode's categories L*, so numerals such as ½, ² and Ⅷ are none.
+_LETTER = regex.compile(r"\p{L}")
 _FACTORS = [np.uint32(x) for x in (1, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 UNKNOWN = "und"
 
@@ -57,8 +58,16 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
     sharpness: float = 6.0
+    #: Share of a text's n-grams that the landmarks have, under which it is in no language that was learned.
+    floor: float = 0.0
+
+    def known(self, text: str) -> float:
+        """The share of the text's n-grams that the landmarks have."""
+        found, _ = grams(text, np.zeros(ORDERS * WIDTH, bool))
+        return float((self.columns[found] >= 0).mean()) if len(found) else 0.0
 
     def kernel(self, texts: list[str]) -> np.ndarray:
+        """Kernel of each text and each landmark."""
         rows, seen = np.zeros((len(texts), len(self.landmarks)), np.float32), np.zeros(ORDERS * WIDTH, bool)
         for i, text in enumerate(texts):
             found, counts = grams(text, seen)
@@ -68,7 +77,7 @@ class Model:
         return rows @ self.landmarks
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language and its share of the softmax over all; `und` and 0 for null or no letters."""
+        """The language and its share of the softmax over all; `und` and 0 for null or no letters. Ties: the first by name."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         use = [i for i, x in enumerate(texts) if x and _LETTER.search(x)]
         for block in common.chunks(use if self.languages else [], 128):
@@ -80,9 +89,10 @@ class Model:
         return names, scores
 
 
-def fit_texts(texts: list[str], labels: list[str], landmarks_each: int = 24, ridge: float = 1e-3) -> Model:
-    """Fit on texts in memory. No text gives a model that answers `und`."""
+def fit_texts(texts: list[str], labels: list[str], landmarks_each: int = 24, ridge: float = 1e-3, max_landmarks: int = 1500) -> Model:
+    """Fit on texts in memory; every language has a landmark at least. No text gives a model that answers `und`."""
     languages = sorted(set(labels))
+    landmarks_each = max(1, min(landmarks_each, max_landmarks // max(1, len(languages))))
     if not languages:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
     seen = np.zeros(ORDERS * WIDTH, bool)
@@ -103,32 +113,39 @@ def fit_texts(texts: list[str], labels: list[str], landmarks_each: int = 24, rid
     target = np.where(np.array(labels)[:, None] == np.array(languages)[None], 1.0, -1.0)
     balance = np.array([1 / labels.count(x) for x in labels]) * len(labels) / len(languages)
     gram = (features * balance[:, None]).T @ features + ridge * len(texts) * np.eye(features.shape[1])
+    # Texts that aren't landmarks tell how much of a text is known; half of what almost all have is too little.
+    model.floor = 0.5 * float(np.quantile([model.known(texts[i]) for i in sorted(set(range(len(texts))) - set(marks)) or marks], 0.01))
     model.weights = (root @ np.linalg.solve(gram, (features * balance[:, None]).T @ target)).astype(np.float32)
     return model
 
 
-def fit(labelled: DataFrame, rows_each: int = 250, max_chars: int = 20_000, max_languages: int = 200, max_rows: int = 4000) -> Model:
-    """Fit on a bounded sample: at most `rows_each` texts of up to `max_chars` characters for each language, fewer if all
-    languages together would have over `max_rows`, those with the smallest hash of doc_id, and at most `max_languages`
-    languages, in order of name.
-
-    labelled: doc_id, text, lang; rows with a null in text or lang and texts without letters take no part."""
-    fits = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    ids = fits.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows_each)
-    ids = ids.withColumn("k", F.dense_rank().over(Window.orderBy("lang"))).where(F.col("k") <= max_languages)
-    share = F.lit(max_rows) / F.max("k").over(Window.partitionBy())
-    chosen = ids.withColumn("share", share).where(F.col("n") <= F.greatest(F.col("share"), F.lit(1.0))).select("doc_id", "lang")
-    rows = fits.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").collect()
-    rows = sorted({(r.doc_id, r.lang, r.text) for r in rows}, key=lambda r: (r[1], -1 if r[0] is None else r[0], r[2]))
+def fit(labelled: DataFrame, rows_each: int = 250, max_chars: int = 20_000, long_each: int = 8, max_rows: int = 4000) -> Model:
+    """Fit on a bounded sample of the labelled rows, in which every language has a text.
+
+    The sample: at most `rows_each` texts of up to `max_chars` characters a language, those with the smallest hash of doc_id; of a
+    language with long texts alone the `long_each` shortest. If all languages together would have over `max_rows`, each has its
+    even share, one at least. labelled: doc_id, text, lang; rows with a null in text or lang and texts without letters take no part,
+    repeated rows count once. No such row gives a model that answers `und`."""
+    size = F.length("text")
+    fits = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    late = F.when(size > max_chars, size).otherwise(0)
+    first = Window.partitionBy("lang").orderBy("late", F.xxhash64(F.col("doc_id")), "doc_id")
+    ids = fits.select("doc_id", "lang", late.alias("late")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows_each)
+    chosen = [r for r in ids.collect() if not r.late or r.n <= long_each]  # rows_each a language at most
+    share = max(1, max_rows // max(1, len({r.lang for r in chosen})))
+    chosen = [(r.doc_id, r.lang) for r in chosen if r.n <= share]
+    wanted = labelled.sparkSession.createDataFrame(chosen, fits.select("doc_id", "lang").schema)
+    same = fits["doc_id"].eqNullSafe(wanted["doc_id"]) & (fits["lang"] == wanted["lang"])
+    rows = fits.select("doc_id", "text", "lang").join(F.broadcast(wanted), same, "left_semi").collect()
+    rows = sorted({(r.doc_id, r.lang, r.text) for r in rows if _LETTER.search(r.text)}, key=lambda r: (r[1], -1 if r[0] is None else r[0], r[2]))
     return fit_texts([r[2] for r in rows], [r[1] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """doc_id, lang_pred, score of every row; with `keep`, all columns of docs and then these.
 
-    Null texts and texts without letters: `und`, score 0. An empty table gives no rows. Columns of docs
-    named lang_pred or score are replaced."""
+    Null and empty texts and texts without letters: `und`, score 0. Very long texts count whole. Ties go to the language that is
+    first by name. Repeated rows give repeated rows, an empty table none. Columns of docs named lang_pred or score are replaced."""
     spark = common.configure(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     docs = common.without(docs, "lang_pred", "score")
@@ -146,17 +163,26 @@ def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     return common.stream(used, task, f"{kinds}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, unchanged, that have a language: null texts and texts without letters go."""
+def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None) -> DataFrame:
+    """The rows of docs in a language that was learned, or in one of `languages`; where `lang` is null it is the predicted one.
+
+    Texts go that are null, have no letters, or of whose n-grams the landmarks have less than the model's floor. A model
+    without languages is an error if there is a text with letters: nothing tells what to keep. Repeated rows stay, an
+    empty table stays empty; other columns stay as they are."""
     spark = common.configure(docs.sparkSession)
+    if not model.languages and not docs.where(F.col("text").rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no labelled text to learn languages from")
     shared = spark.sparkContext.broadcast(model)
     columns = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def task():
         def f(x):
-            names, _ = shared.value.predict(x["text"])
-            keep = [i for i, name in enumerate(names) if name != UNKNOWN]
+            m = shared.value
+            names, _ = m.predict(x["text"])
+            keep = [i for i, name in enumerate(names) if name != UNKNOWN and (languages is None or name in languages) and m.known(x["text"][i]) >= m.floor]
+            if "lang" in x:
+                x["lang"] = [name if v is None else v for v, name in zip(x["lang"], names, strict=True)]
             return {c: [x[c][i] for i in keep] for c in columns}
 
         return f

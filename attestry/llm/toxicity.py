@@ -1,9 +1,10 @@
 """Toxic passages by maximum-scoring segments.
 
 Words get the log-odds of toxic against clean texts under an informative Dirichlet prior (Monroe, Colaresi
-and Quinn 2008); a word seen too rarely falls back to its first letters. A linear scan (Ruzzo and Tompa 1999)
-finds every maximal segment of a text; Karlin and Altschul's extreme-value law says how surprising its score
-is in a clean text of that length, and that is the score of the text.
+and Quinn 2008); a word seen too rarely falls back to its first letters, and one whose odds can't be told from even costs
+the drift. A linear scan (Ruzzo and Tompa 1999) finds every maximal segment of a text. Karlin and Altschul's extreme-value law
+says how many segments of its score a clean text of that length has by chance: those of few are the toxic passages, and
+together they give the text's score.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,12 @@ from . import common
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that stand in for rare words.
 STEMS = (6, 5, 4)
-#: Words remembered at most in a worker.
-MEMORY = 400_000
+#: Words remembered at most by a task.
+MEMORY = 200_000
+#: Segments of clean texts that show the tail of their scores.
+TAIL = 100
+#: Passages of which a clean text has more by chance aren't significant.
+EXPECTED = 0.05
 
 
 def units(word: str) -> list[str]:
@@ -51,46 +57,60 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(x[0], x[1], x[3] - x[2]) for x in out]
 
 
+class _Scores(dict):
+    """Scores of words, remembered."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > MEMORY:
+            self.clear()
+        out = self[word] = self.model.word(word)
+        return out
+
+
 @dataclass
 class Model:
-    """odds: units with significant log-odds; drift: the score of any other word; rate and scale: the
-    extreme-value law's lambda and K."""
+    """odds: units with significant log-odds, toxic or clean; drift: the score of any other word; rate and chance: the
+    extreme-value law's lambda and K for segments of clean texts; scale: K by the likelihood of the labels."""
 
     odds: dict[str, float] = field(default_factory=dict)
     drift: float = -0.05
     rate: float = 1.0
     scale: float = 1.0
+    chance: float = 1.0
 
     def word(self, word: str) -> float:
-        """Log-odds of the most specific known unit, or 0."""
+        """Log-odds of the most specific known unit, or the drift."""
         for x in units(word):
             if x in self.odds:
                 return self.odds[x]
-        return 0.0
+        return self.drift
 
-    def passages(self, text: str | None, memory: dict[str, float]) -> tuple[int, list[tuple[int, int, float]]]:
-        """The number of words, and the maximal segments as (first word, end, score)."""
+    def passages(self, text: str | None, memory: _Scores) -> tuple[int, list[tuple[int, int, float]]]:
+        """The number of words, and all maximal segments as (first word, end, score)."""
         words = WORD.findall(text.lower()) if text else []
-        if len(memory) > MEMORY:
-            memory.clear()
-        hits = []
-        for i, w in enumerate(words):
-            s = memory.get(w)
-            if s is None:
-                s = memory[w] = self.word(w)
-            if s > 0:
-                hits.append((i, s))
+        scores = list(map(memory.__getitem__, words))
+        hits = [i for i, s in enumerate(scores) if s > 0]
+        if not hits:
+            return len(words), []
         # Runs of other words between two hits are one step each, so the scan is over the hits alone.
+        total = [0.0, *accumulate(scores)]
         steps, places, last = [], [], None
-        for i, s in hits:
+        for i in hits:
             if last is not None and i - last > 1:
-                steps.append(self.drift * (i - last - 1))
+                steps.append(total[i] - total[last + 1])
                 places.append(last + 1)
-            steps.append(s)
+            steps.append(scores[i])
             places.append(i)
             last = i
         return len(words), [(places[a], places[b - 1] + 1, s) for a, b, s in segments(steps)]
 
+    def expected(self, n: int, s: float) -> float:
+        """How many segments of such a score or higher a clean text of n words has by chance (the E-value)."""
+        return self.chance * max(n, 1) * math.exp(-self.rate * s)
+
     def score(self, n: int, found: list[tuple[int, int, float]]) -> float:
         """Chance that at least one segment isn't what a clean text of n words has by chance."""
         clean = 1.0
@@ -118,13 +138,13 @@ def _counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(labelled: DataFrame, docs: DataFrame, max_rows: int = 40_000, max_units: int = 50_000, prior: float = 1000.0, z: float = 3.5) -> Model:
+def fit(labelled: DataFrame, docs: DataFrame, max_rows: int = 40_000, prior: float = 1000.0, z: float = 3.5) -> Model:
     """Learn from a bounded sample of labelled rows: the `max_rows` with the smallest hash of doc_id.
 
-    Three quarters of it give the log-odds, the rest the calibration. At most `max_units` units are kept,
-    those surest to be toxic (log-odds over `z` standard deviations). labelled: doc_id, toxic (0 or 1, other values take no
-    part). No usable label gives a model that scores every text 0."""
-    chosen = labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
+    Three quarters of it give the log-odds, the rest the calibration. All units of these rows are kept whose log-odds are over `z`
+    standard deviations from even. labelled: doc_id, toxic (0 or 1, other values take no part); repeated rows count once, a
+    document with both labels counts for either. No usable label gives a model that scores every text 0."""
+    chosen = labelled.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     sample = common.staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
     part = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(4))
     counts = common.staged(_counts(sample.where(part != 3)), "units")
@@ -137,24 +157,27 @@ def fit(labelled: DataFrame, docs: DataFrame, max_rows: int = 40_000, max_units:
     t, c = F.col("toxic") + share, F.col("clean") + share
     odds = F.log(t / (n_toxic + prior - t)) - F.log(c / (n_clean + prior - c))
     deviation = F.sqrt(1 / t + 1 / c)
-    kept = counts.where(F.col("toxic") >= 4).select("unit", odds.alias("odds"), (odds / deviation).alias("z"), "toxic", "clean")
+    kept = counts.select("unit", odds.alias("odds"), (odds / deviation).alias("z"), "toxic", "clean")
     # Few counts have wide deviations whatever the odds, so a unit absent from clean texts needs many counts in toxic ones.
     sure = (F.col("z") >= z) | ((F.col("clean") == 0) & (F.col("toxic") * math.log1p(n_clean / n_toxic) >= z * 4))
-    rows = kept.where(sure & (F.col("odds") > 1)).orderBy(F.desc("z"), "unit").limit(max_units).collect()
-    model = Model({r.unit: float(r.odds) for r in rows})
+    toxic = (F.col("toxic") >= 4) & sure & (F.col("odds") > 1)
+    # Beginnings of clean words say nothing of a rare word, so only whole words count against.
+    clean = (F.col("z") <= -z) & (F.col("odds") < 0) & ~F.col("unit").endswith("*")
+    rows = kept.where(toxic | clean).collect()  # units of max_rows texts at most
+    model = Model({r.unit: float(r.odds) for r in sorted(rows, key=lambda r: r.unit)})
     # The share of toxic words in toxic texts sets what every other word costs.
-    words = [r for r in rows if not r.unit.endswith("*")]
+    words = [r for r in rows if r.odds > 0 and not r.unit.endswith("*")]
     density = min(0.2, max(0.005, sum(r.toxic for r in words) / n_toxic))
     model.drift = math.log1p(-density)
     return _calibrated(model, sample.where(part == 3))
 
 
 def _calibrated(model: Model, sample: DataFrame) -> Model:
-    """Lambda from how often clean words score, K by the likelihood of the labels."""
+    """Lambda and K from the segments of clean texts, by the tail of their scores; K for a text's score by the likelihood of the labels."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def task():
-        memory: dict[str, float] = {}
+        memory = _Scores(shared.value)
 
         def f(x):
             found = [shared.value.passages(t, memory) for t in x["text"]]
@@ -164,17 +187,25 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
 
     rows = common.stream(sample.select("text", "toxic"), task, "toxic int, n long, s array<double>").collect()  # bounded by max_rows
     clean = [r for r in rows if not r.toxic]
-    hits = [s for r in clean for s in r.s]
-    height = sum(model.odds.values()) / max(1, len(model.odds)) or 1.0
-    chance = (len(hits) + 1) / (sum(r.n for r in clean) + 2)
-    low, high = 1e-6, 50.0
-    for _ in range(80):  # sum of p * exp(lambda * s) is 1 at 0 and at lambda
-        mid = (low + high) / 2
-        if (1 - chance) * math.exp(mid * model.drift) + chance * math.exp(min(600.0, mid * height)) > 1:
-            high = mid
-        else:
-            low = mid
-    model.rate = low
+    hits = sorted(s for r in clean for s in r.s)
+    length = sum(r.n for r in clean)
+    if len(hits) >= 2 * TAIL:
+        # Over a high score segments fall off as exp(-lambda * score), and K sets how many there are.
+        start = hits[-TAIL]
+        model.rate = 1 / max(1e-3, sum(s - start for s in hits[-TAIL:]) / TAIL)
+        model.chance = TAIL / max(length, 1) * math.exp(model.rate * start)
+    else:  # too few to show a tail: the law of a walk that goes up by the mean odds as often as clean words score
+        up = [s for s in model.odds.values() if s > 0]
+        height = sum(up) / max(1, len(up)) or 1.0
+        chance = (len(hits) + 1) / (length + 2)
+        low, high = 1e-6, 50.0
+        for _ in range(80):  # sum of p * exp(lambda * s) is 1 at 0 and at lambda
+            mid = (low + high) / 2
+            if (1 - chance) * math.exp(mid * model.drift) + chance * math.exp(min(600.0, mid * height)) > 1:
+                high = mid
+            else:
+                low = mid
+        model.rate, model.chance = low, max(len(hits), 1) / max(length, 1)
     best = -math.inf
     for k in range(-40, 21):
         model.scale = math.exp(k / 4)
@@ -188,23 +219,25 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted, passages (first word, end, score) of every row.
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, expected: float = EXPECTED) -> DataFrame:
+    """doc_id, score, predicted, passages (first word, end, score, expected) of every row.
 
-    Null and empty texts: score 0, no passages. An empty table gives no rows. Other columns take no part."""
+    passages are the significant ones: a clean text of that length has at most `expected` by chance with such a score. Null and empty
+    texts: score 0, no passages. Very long texts are scanned whole. Repeated rows give repeated rows, an empty table none.
+    A score of just the threshold is predicted 1. Other columns take no part."""
     spark = common.configure(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
     def task():
-        memory: dict[str, float] = {}
+        memory = _Scores(shared.value)
 
         def f(x):
             m = shared.value
             found = [m.passages(t, memory) for t in x["text"]]
             scores = [m.score(n, s) for n, s in found]
-            spans = [[{"first": a, "end": b, "score": s} for a, b, s in x] for _, x in found]
+            spans = [[{"first": a, "end": b, "score": s, "expected": e} for a, b, s in x if (e := m.expected(n, s)) <= expected] for n, x in found]
             return {"doc_id": x["doc_id"], "score": scores, "predicted": [int(s >= threshold) for s in scores], "passages": spans}
 
         return f
 
-    return common.stream(docs.select("doc_id", "text"), task, "doc_id long, score double, predicted int, passages array<struct<first: long, end: long, score: double>>")
+    return common.stream(docs.select("doc_id", "text"), task, "doc_id long, score double, predicted int, passages array<struct<first: long, end: long, score: double, expected: double>>")

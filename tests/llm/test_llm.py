@@ -552,11 +552,61 @@ def test_language_id(spark):
     names, scores = model.predict([*ODD, "und die katze 123", "\U0001f600 42"])
     assert names[:3] == ["und"] * 3 and scores[0] == 0 and names[-2:] == ["de", "und"] and all(0 <= s <= 1 for s in scores)
     df = docs(spark, ODD)
+    model.floor = 0.0
     assert langid.accepted(df, model).columns == df.columns and langid.accepted(df, model).count() == len(ODD) - 3
     kept = langid.identify(df, model, keep=True)
     assert dict(kept.dtypes)["score"] == "double" and kept.count() == len(ODD)
     assert langid.identify(df.limit(0), model).count() == 0
     assert langid.fit(df.limit(0)).predict(["abc"]) == (["und"], [0.0])
+    assert model.predict(["½ ² Ⅷ ①", "٣", "12 !", "º", "語", "½a"])[0] == ["und"] * 3 + [model.predict([x])[0][0] for x in "º語a"]
+    assert "und" not in model.predict(["º", "語", "ñ", "½a"])[0]
+
+
+def test_language_sample_has_every_language(spark):
+    rng = random.Random(3)
+    rows = [(i, line(rng, 5), f"l{i % 300:03d}") for i in range(900)] + [(1000 + i, line(rng, 8000) + " y" * i, "long") for i in range(12)] + [(None, "abc def", "nul"), (2000, "½ 12", "num"), (2001, None, "non"), (2002, "x", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame.unionAll(frame), rows_each=2, max_rows=320)
+    assert model.languages == sorted({f"l{i:03d}" for i in range(300)} | {"long", "nul"})
+
+
+def slow_kernel(a, b):
+    def sets(t):
+        t = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        t = f" {' '.join(t.split())} "
+        return [{t[i : i + n] for i in range(len(t) - n + 1)} for n in range(1, 5)]
+
+    return sum(len(x & y) / max(1, len(x) * len(y)) ** 0.5 for x, y in zip(sets(a), sets(b))) / 4
+
+
+def test_kernel_and_ridge_are_the_definition():
+    rng = random.Random(4)
+    texts = [("the cat and " if i % 2 else "der hund und ") + line(rng, rng.randint(1, 12)) for i in range(60)]
+    labels = ["en" if i % 2 else "de" for i in range(60)]
+    model = langid.fit_texts(texts, labels, landmarks_each=10, ridge=0.01)
+    marks = [i for k in ("de", "en") for i in [j for j, x in enumerate(labels) if x == k][:10]]
+    test = [line(rng, 6), "the dog and", "und die", "a", "É x"]
+    want = np.array([[slow_kernel(t, texts[i]) for i in marks] for t in test])
+    assert np.allclose(model.kernel(test), want, atol=2e-3)
+    # Kernel ridge on the Nystroem approximation K_nm K_mm^-1 K_mn, by the dual solution.
+    nm = np.array([[slow_kernel(t, texts[i]) for i in marks] for t in texts])
+    inverse = np.linalg.pinv(nm[marks], rcond=1e-6)
+    gram, cross = nm @ inverse @ nm.T, want @ inverse @ nm.T
+    target = np.where(np.array(labels)[:, None] == np.array(["de", "en"])[None], 1.0, -1.0)
+    dual = np.linalg.solve(gram + 0.01 * len(texts) * np.eye(len(texts)), target)
+    assert np.allclose(model.kernel(test) @ model.weights, cross @ dual, atol=2e-2)
+
+
+def test_language_stage_decides(spark):
+    rng = random.Random(5)
+    model = langid.fit_texts([f"the cat and the dog of {line(rng, 9)}" for _ in range(40)] + [f"der hund und die katze {line(rng, 9)}" for _ in range(40)], ["en"] * 40 + ["de"] * 40)
+    texts = ["the dog and the cat", "und der hund", "日本語のテキストです", "Привет мир", None, "12", "½"]
+    frame = docs(spark, texts).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r.doc_id: r.lang for r in langid.accepted(frame, model).collect()}
+    assert kept == {0: "en", 1: "de"} and {r.doc_id for r in langid.accepted(frame, model, ["de"]).collect()} == {1}
+    with pytest.raises(ValueError):
+        langid.accepted(frame, langid.fit_texts([], []))
+    assert langid.accepted(frame.limit(0), langid.fit_texts([], [])).count() == 0
 
 
 def slow_segments(s):
@@ -598,6 +648,48 @@ def test_toxicity(spark):
     assert toxicity.fit(frame.select("doc_id", "toxic").limit(0), frame).odds == {}
 
 
+def test_toxicity_is_the_definition(spark):
+    import math
+
+    rng = random.Random(8)
+    data = []
+    for i in range(400):
+        words = line(rng, rng.randint(5, 60)).split()
+        for w in (["badly", "badness", "vile"] if i % 3 == 0 else ["calm"] * (i % 2)):
+            words.insert(rng.randrange(len(words)), w)
+        data.append((i, " ".join(words), int(i % 3 == 0)))
+    frame = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.select("doc_id", "toxic"), frame.select("doc_id", "text"))
+    part = {r.doc_id: r.p for r in frame.select("doc_id", F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(4)).alias("p")).collect()}
+    counts = {}
+    for i, text, toxic in data:
+        if part[i] != 3:
+            for u in {u for w in set(text.split()) for u in [w, *(w[:n] + "*" for n in (6, 5, 4) if len(w) > n)]}:
+                counts.setdefault(u, [0, 0])[1 - toxic] += 1
+    n_t, n_c = (sum(v[k] for u, v in counts.items() if not u.endswith("*")) for k in (0, 1))
+    want = {}
+    for u, (t, c) in counts.items():
+        share = 1000 * (t + c) / (n_t + n_c)
+        a, b = t + share, c + share
+        odds = math.log(a / (n_t + 1000 - a)) - math.log(b / (n_c + 1000 - b))
+        z = odds / math.sqrt(1 / a + 1 / b)
+        sure = z >= 3.5 or c == 0 and t * math.log1p(n_c / n_t) >= 14
+        if t >= 4 and sure and odds > 1 or z <= -3.5 and odds < 0 and not u.endswith("*"):
+            want[u] = odds
+    assert model.odds == pytest.approx(want) and "vile" in want and "calm" in want and want["calm"] < 0 < want["vile"]
+    texts = ["vile badly akk", "calm " * 5, "badnesses aak " * 3 + "calm vile", "", None, f"vile {line(rng, 30)} vile"]
+    for r in toxicity.score(docs(spark, texts), model, expected=1e9).collect():
+        words = (texts[r.doc_id] or "").split()
+        scores = [next((want[u] for u in [w, *(w[:n] + "*" for n in (6, 5, 4) if len(w) > n)] if u in want), model.drift) for w in words]
+        found = slow_segments(scores)
+        clean = math.prod(1 - math.exp(-model.scale * len(words) * math.exp(-model.rate * s)) for *_, s in found)
+        assert r.score == pytest.approx(1 - clean) and r.predicted == int(r.score >= 0.3)
+        assert [(p.first, p.end) for p in r.passages] == [(a, b) for a, b, _ in found]
+        assert [p.expected for p in r.passages] == pytest.approx([model.chance * len(words) * math.exp(-model.rate * s) for *_, s in found])
+    some = toxicity.score(docs(spark, texts), model, expected=0.0).collect()
+    assert all(not r.passages for r in some)
+
+
 @pytest.fixture(scope="module")
 def trees():
     return html.train()
