@@ -1,11 +1,13 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Windows as long as a benchmark item get a SimHash fingerprint; a multi-index of radius + 1 Hamming blocks
-finds every item of that length within the radius (two fingerprints within r bits agree on one of r + 1 blocks);
-exact weighted-shingle similarity, the sum of smaller over the sum of larger counts, verifies.
+Windows as long as a benchmark item get a SimHash fingerprint and look up the items that they were laid for in a multi-index of
+radius + 1 Hamming blocks, which finds every one within the radius (two fingerprints within r bits agree on one of r + 1 blocks);
+exact weighted-shingle similarity, the sum of smaller over the sum of larger counts, verifies. The radius that a similarity of
+0.8 needs is wide, so blocks alone would let most pairs of windows and items through; with the item in the key they
+let through what was laid.
 
 A window that reaches the similarity has at least `needed` places with a shingle of the item, so every window
-with that many is laid, whatever its alignment, and no other. Places are counted without the words; only the words of
+with that many is laid for it, whatever its alignment, and no other. Places are counted without the words; only the words of
 windows are dealt out.
 """
 
@@ -46,10 +48,17 @@ def _left(b: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), b)
 
 
-def shared(a: Column, b: Column) -> Column:
-    """How many shingles two arrays share, repeats included."""
+def repeats(sorted_: Column) -> Column:
+    """What a sorted array has besides the first of each value."""
+    last = F.size(sorted_) - 1
+    at = F.when(last > 0, F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.get(sorted_, i) == F.get(sorted_, i - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.get(sorted_, i))
+
+
+def shared(a: Column, b: Column, more_a: Column, more_b: Column) -> Column:
+    """How many values two arrays share, repeats included: values once, by hash, and then their repeats, which are few."""
     count = lambda x, s: F.size(F.filter(x, lambda y: y == s))
-    return F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, s: acc + F.least(count(a, s), count(b, s)))
+    return F.size(F.array_intersect(a, b)) + F.aggregate(F.array_intersect(more_a, more_b), F.lit(0), lambda acc, s: acc + F.least(count(more_a, s), count(more_b, s)))
 
 
 def needed(n_shingles: Column, n_window: Column, threshold: float) -> Column:
@@ -61,8 +70,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     """doc_id, item_id, start, n_words, similarity: for each document and item the most similar window, if it reaches the threshold.
 
     start is the window's first word; of equal windows the first counts. Items without words and null texts match
-    nothing; a document shorter than an item is one window. Repeated rows are one; equal items each match. Empty
-    tables give no rows. Columns other than doc_id and text, item_id and text take no part."""
+    nothing; a document shorter than an item is one window. Repeated rows are one; equal items each match. Very long texts are
+    read whole, and long items take time with their length. Rows that share a doc_id, or have none, are told apart by text in `matches`; here
+    the best of all of them counts. Empty tables give no rows. Columns other than doc_id and text, item_id and text take no part."""
     best = matches(docs, benchmark, threshold, width, radius).groupBy("doc_id", "item_id")
     top = best.agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "n")).alias("best"))
     return top.select("doc_id", "item_id", (-F.col("best.minus")).alias("start"), F.col("best.n").alias("n_words"), F.col("best.similarity").alias("similarity"))
@@ -73,10 +83,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float, width: int,
     spark = common.configure(docs.sparkSession)
     items = benchmark.select("item_id", words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
     items = items.select("item_id", F.size("item_words").alias("n"), F.least(F.size("item_words"), F.lit(width)).alias("w"), "item_words")
-    # Arrays that lambdas use are columns of staged tables: Spark would put their expressions into every lambda.
-    items = common.staged(items.withColumn("item_shingles", shingles(F.col("item_words"), F.col("w"))), "items")
-    items = common.staged(items.withColumn("hashes", F.transform("item_shingles", lambda s: F.xxhash64(s))), "items")
-    items = common.staged(items.withColumn("item_fp", simhash(F.col("hashes"))).drop("hashes"), "items")
+    items = _printed(items, F.col("item_words"), F.col("w"), "item_")
     sizes = items.groupBy("w", "n").agg(F.sum(F.size("item_shingles")).alias("total")).collect()  # one row for each length
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, start int, n int, similarity double")
@@ -85,10 +92,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float, width: int,
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     # Passes over the documents: one, unless the benchmark's shingles are too many for one broadcast.
     passes = -(-sum(r.total for r in sizes) // BROADCAST_SHINGLES)
-    found = []
+    found, owned = [], []
     for w in sorted({r.w for r in sizes}):
         own = items.where(F.col("w") == w).select("item_id", "n", "item_words", F.explode(F.sequence(F.lit(0), F.col("n") - w)).alias("at"))
         own = common.staged(own.select("item_id", "n", shingle_hash("item_words", "at", w).alias("item_h")).distinct(), "shingles")
+        owned.append(own)
         # The outer form keeps Spark from splitting each text twice, once for a filter that it would infer. From here to the
         # join rows are variables of one generated loop, so the words are not copied for places without a hit.
         places = F.when(F.size("words") >= w, F.sequence(F.lit(0), F.size("words") - w))
@@ -109,34 +117,46 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float, width: int,
     over = F.sequence(F.greatest(F.lit(0), F.col("p") - n_item + 1), F.least("p", F.greatest(F.lit(0), F.col("size") - F.col("n"))))
     laid = hits.withColumn("start", F.explode(over)).groupBy("doc_id", "text_hash", "size", "item_id", "n", "w", "start").count()
     laid = laid.where(F.col("count") >= needed(n_item, n_window, threshold))
-    laid = laid.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n", "w")).alias("laid"))
+    laid = laid.groupBy("doc_id", "text_hash", "start", "n", "w").agg(F.collect_set("item_id").alias("for_items"))
+    laid = laid.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n", "w", "for_items")).alias("laid"))
     laid = common.staged(laid.select(F.col("doc_id").alias("laid_id"), F.col("text_hash").alias("laid_hash"), "laid"), "laid")
     same = docs["doc_id"].eqNullSafe(F.col("laid_id")) & (F.col("text_hash") == F.col("laid_hash"))
     windows = docs.join(laid, same).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("words"), "laid")
-    windows = common.staged(windows, "texts").select("doc_id", "text_hash", "words", F.explode("laid").alias("at"))
+    texts = common.staged(windows, "texts")
+    windows = texts.select("doc_id", "text_hash", "words", F.explode("laid").alias("at"))
     windows = windows.select("doc_id", "text_hash", "at.*", F.slice("words", F.col("at.start") + 1, F.col("at.n")).alias("window"))
-    windows = common.staged(windows, "windows")
-    windows = common.staged(windows.withColumn("shingles", shingles(F.col("window"), F.least(F.col("w"), F.size("window")))).drop("window"), "windows")
-    windows = common.staged(windows.withColumn("hashes", F.transform("shingles", lambda s: F.xxhash64(s))), "windows")
-    windows = common.staged(windows.withColumn("fp", simhash(F.col("hashes"))).drop("hashes"), "windows")
+    # Few rows with much to do for each: dealt out evenly.
+    windows = windows.repartition(common.partitions(spark), F.xxhash64("doc_id", "text_hash", "start", "n"))
+    windows = _printed(windows, F.col("window"), F.least(F.col("w"), F.size("window")), "").drop("window")
+    common.drop_staged(texts, laid, *owned)
 
     blocks = radius + 1
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     values = lambda c: F.array(*[_shift(F.col(c), F.lit(x)).bitwiseAND(F.lit((1 << (y - x)) - 1)) for x, y in zip(cuts, cuts[1:], strict=False)])
-    index = items.select("item_id", F.col("n").alias("item_n"), "item_fp", "item_shingles", F.posexplode(values("item_fp")).alias("item_block", "item_value"))
-    probes = windows.select("*", F.posexplode(values("fp")).alias("block", "value"))
-    near = probes.join(hint(index), (F.col("n") == F.col("item_n")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")))
+    index = items.select("item_id", "item_fp", "item_shingles", "item_more", F.posexplode(values("item_fp")).alias("block", "value"))
+    probes = windows.withColumn("item_id", F.explode("for_items")).drop("for_items").select("*", F.posexplode(values("fp")).alias("block", "value"))
+    near = probes.join(hint(index), ["item_id", "block", "value"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     # Of the blocks that agree, only the first counts, so that a pair comes once.
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.array_position(F.transform(F.array(*[_shift(differ, F.lit(x)).bitwiseAND(F.lit((1 << (y - x)) - 1)) for x, y in zip(cuts, cuts[1:], strict=False)]), lambda x: x == 0), True) - 1
     sizes_ = (F.size("shingles") + F.size("item_shingles")).alias("sizes")
     # Staged, as Spark would count anew wherever the count is used.
-    pairs = near.where(F.col("block") == first).select("doc_id", "text_hash", "item_id", "start", "n", sizes_, shared(F.col("shingles"), F.col("item_shingles")).alias("both"))
+    pairs = near.where(F.col("block") == first).select("doc_id", "text_hash", "item_id", "start", "n", sizes_, shared(F.col("shingles"), F.col("item_shingles"), F.col("more"), F.col("item_more")).alias("both"))
     pairs = common.staged(pairs, "pairs").withColumn("similarity", F.col("both") / F.nullif(F.col("sizes") - F.col("both"), F.lit(0)))
     return pairs.where(F.col("similarity") >= threshold).select("doc_id", "text_hash", "item_id", "start", "n", "similarity")
 
 
+def _printed(rows: DataFrame, words_: Column, width: Column, prefix: str) -> DataFrame:
+    """rows with sorted shingles, their repeats (`more`) and fingerprint: a staged table. Arrays that lambdas use are columns of
+    staged tables, as Spark would put their expressions into every lambda; a step is dropped when the next is there."""
+    one = common.staged(rows.withColumn(f"{prefix}shingles", F.array_sort(shingles(words_, width))), "shingles")
+    two = common.staged(one.withColumn("hashes", F.transform(f"{prefix}shingles", lambda s: F.xxhash64(s))).withColumn(f"{prefix}more", repeats(F.col(f"{prefix}shingles"))), "hashes")
+    out = common.staged(two.withColumn(f"{prefix}fp", simhash(F.col("hashes"))).drop("hashes"), "prints")
+    common.drop_staged(one, two)
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = 5, radius: int = 24) -> DataFrame:
     """docs without the rows that hold a benchmark item, whatever their doc_id: a null one, or one that other texts have too."""
     bad = matches(docs, benchmark, threshold, width, radius).select(F.col("doc_id").alias("__attestry_bad_id"), F.col("text_hash").alias("__attestry_bad_hash")).distinct()

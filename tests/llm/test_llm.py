@@ -443,6 +443,10 @@ def test_decontamination_is_brute_force(spark):
     clean = {r.doc_id for r in decontam.decontaminate(df, bench).collect()}
     assert clean == set(range(len(texts))) - {i for i, _ in want}
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
+    before = decontam.BROADCAST_SHINGLES
+    decontam.BROADCAST_SHINGLES = 60  # several passes over the documents, and items by a shuffled join
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(df, bench).collect()} == pytest.approx(want)
+    decontam.BROADCAST_SHINGLES = before
     plan = decontam.contaminated(df, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -475,6 +479,24 @@ def test_decontamination_with_shifted_windows(spark):
     assert got == pytest.approx(want) and len(want) > 15
 
 
+def test_decontamination_with_repeats_and_a_long_item(spark):
+    rng = random.Random(31)
+    long = line(rng, 3000)
+    items = ["la la la la la la la la na na na na na na na la la la", "a b c d e " * 12, long]
+    texts = [items[0], items[0] + " na", items[0].replace("na", "la", 2), items[1][10:] + "x y", f"q {long[:-30]} z", long[:8000], "la " * 40]
+    want = {}
+    for i, t in enumerate(texts):
+        words = t.split()
+        for j, item in enumerate(items):
+            n, share = len(item.split()), slow_shingles(item.split())
+            best = max(slow_similarity(slow_shingles(words[s : s + n]), share) for s in range(max(1, len(words) - n + 1)))
+            if best >= 0.8:
+                want[i, j] = best
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert got == pytest.approx(want) and {(0, 0), (4, 2)} <= set(want)
+
+
 def test_decontaminate_goes_by_row(spark):
     rng = random.Random(22)
     item, a, b = line(rng, 40), line(rng, 60), line(rng, 60)
