@@ -2,8 +2,9 @@
 
 A vector, less a centre, is rotated at random and kept as one sign bit for each dimension with two scalars:
 its norm, and how well the signs stand for it. Inner products with a query are estimated from the signs; an
-error bound on each estimate tells which vectors can still be among the nearest, and those alone are compared
-exactly. Every row is coded and every query sees every code, in blocks, by matrix products.
+error bound on each estimate tells which vectors can still be among the nearest. Those are reranked by a matrix product in
+double precision, whose own error bound leaves about k of them, and these are compared as the measure says. Every row is coded
+and every query sees every code, in blocks: queries times rows, as the search is defined.
 """
 
 from __future__ import annotations
@@ -59,9 +60,11 @@ def _squares(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, query_ids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, distance) of the k nearest of this block for each query; ties go to smaller ids."""
+def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, query_ids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of the k nearest of this block for each query; ties go to smaller ids. seen: counts of vectors, and of
+    those that the error bounds let through to reranking."""
     dim = x.shape[1]
+    length = (x**2).sum(1)
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     fit = np.maximum(fit, 1e-6)
     spread = np.where(fit < 1, np.sqrt(np.maximum(0, 1 - fit**2)) / fit, 0) * WIDTH / np.sqrt(max(1, dim - 1))
@@ -81,9 +84,24 @@ def nearest(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray,
             bound = np.where(np.isinf(bound), FAR, _squares(x[first] - part[:, None])).max(1, keepdims=True)
         else:
             bound = np.full((len(part), 1), FAR)
-        row, col = np.nonzero(middle - slack <= bound * (1 + 1e-9))
-        if not len(row):
+        near = middle - slack <= bound * (1 + 1e-9)
+        some = np.flatnonzero(near.any(0))
+        if not len(some):
             continue
+        if seen is not None:
+            seen[0] += near.size
+            seen[1] += int(near.sum())
+        # Rerank: distances up to rounding; what is over the k-th by more than rounding can make isn't among the nearest.
+        square, own_square = length[some], (part**2).sum(1)[:, None]
+        far = square + own_square - 2 * (part @ x[some].T)
+        far = np.where(near[:, some], far, np.inf)
+        if len(some) > k:
+            kth = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+            near = far <= kth + 1e-12 * dim * (square + own_square)
+        else:
+            near = np.isfinite(far)
+        row, col = np.nonzero(near & np.isfinite(far))
+        col = some[col]
         exact = np.sqrt(_squares(x[col] - part[row]))
         order = np.lexsort((ids[col], exact, row))
         row, col, exact = row[order], col[order], exact[order]
@@ -97,26 +115,35 @@ def _blocks(df: DataFrame, size: int, dim: int, coded: tuple[np.ndarray, np.ndar
     """block, ids, vectors and, if `coded` has centre and rotation, codes, norms and fits: packed rows of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, held = TaskContext.get().partitionId(), 0, 0
+        ids: list[np.ndarray] = []
+        flat: list[np.ndarray] = []
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            for at in range(0, len(ids), size):
-                x = np.ascontiguousarray(flat[at : at + size], np.float64)
-                parts = encode(x, *coded) if coded else (np.zeros(0, np.uint8),) * 3
-                row = [(part << 32) + n, ids[at : at + size].astype("<i8").tobytes(), x.tobytes(), *(p.tobytes() for p in parts)]
-                n += 1
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=["block", "ids", "vectors", "codes", "norms", "fits"])
+            ids.append(batch.column(0).to_numpy(zero_copy_only=False))
+            flat.append(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+            held += batch.num_rows
+            while held >= size:
+                whole_ids, whole = np.concatenate(ids), np.concatenate(flat)
+                yield row((part << 32) + n, whole_ids[:size], whole[:size])
+                ids, flat, held, n = [whole_ids[size:]], [whole[size:]], held - size, n + 1
+        if held:
+            yield row((part << 32) + n, np.concatenate(ids), np.concatenate(flat))
+
+    def row(block: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        x = np.ascontiguousarray(x, np.float64)
+        parts = encode(x, *coded) if coded else (np.zeros(0, np.uint8),) * 3
+        values = [block, ids.astype("<i8").tobytes(), x.tobytes(), *(p.tobytes() for p in parts)]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), *[pa.binary()] * 5), strict=True)], names=["block", "ids", "vectors", "codes", "norms", "fits"])
 
     return df.mapInArrow(run, "block long, ids binary, vectors binary, codes binary, norms binary, fits binary")
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, every: int = 100, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` its k nearest of all other rows.
 
     score is the Euclidean distance in double precision; ties go to the smaller vec_id; with fewer than k
     candidates all are given. Rows with a null id or an unusable vector (null, zero, empty, not finite), or one of another length than
-    most, take no part. Rows that repeat an id are candidates each, but not of their own id. An empty table gives no rows."""
+    most, from which no distance is defined, take no part. Rows that repeat an id are candidates each, but not of their own id. An empty table gives no rows."""
     spark = common.configure(vectors.sparkSession)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -128,7 +155,6 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     mean = sample.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).orderBy("i").collect()
     centre, turn = np.array([r.x for r in mean]), rotation(dim)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     asked = v.where(F.col("vec_id") % every == 0)
     n = asked.count()
     if not n:
@@ -139,7 +165,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     queries = common.staged(queries.select("block", "ids", "vectors"), "queries")
     names = [r.block for r in queries.select("block").collect()]  # one for each 2048 queries or fewer
     codes = common.staged(_blocks(v, ROWS, dim, (centre, turn)), "codes")
-    small = n * dim * 8 <= BROADCAST_BYTES
+    small = n * dim * 8 <= broadcast_bytes
     # A block of queries meets all coded blocks. When they are too many to broadcast, each goes to as many
     # salts as there are partitions, and a coded block to one of them.
     salts = 1 if small else common.partitions(spark)

@@ -26,6 +26,8 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 20
 #: Uncompressed bytes after which a bundle is closed; a record is never split.
 BUNDLE_BYTES = 16 << 20
+#: Payloads that recur are broadcast up to so many bytes of their names.
+BROADCAST_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, record_id string, bundle string, frame int, offset long, length long"
@@ -36,17 +38,23 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, number: int) -> tuple[str, bytes]:
-    """The record's identifier and bytes. A revisit keeps the HTTP head, with the payload's length, and no payload."""
+def _uri(url: str) -> str:
+    return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, number: int | str, refers_url: str | None = None) -> tuple[str, bytes]:
+    """The record's identifier and bytes. number tells records apart that share page_id and url. A revisit keeps the HTTP head, with
+    the payload's length, and no payload, and says what it refers to."""
     name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{number}/{url}')}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
     if url is not None:
-        head.append(("WARC-Target-URI", "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url)))
+        head.append(("WARC-Target-URI", _uri(url)))
     if page_id is not None:
         head.append(("X-Page-Id", str(page_id)))
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE)] + [("X-Refers-To-Page-Id", str(refers_to))] * (refers_to is not None)
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Date", DATE)] + [("X-Refers-To-Page-Id", str(refers_to))] * (refers_to is not None)
+        head += [("WARC-Refers-To-Target-URI", _uri(refers_url))] if refers_url is not None else []
     block = http + payload * (kind == "response")
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return name, "WARC/1.1\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -134,20 +142,25 @@ def _write(uri: str, data: bytes) -> None:
     store.move(other, path)
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Write a record for every row of pages in bundles under `folder`; returns the index, a staged table.
 
     Of records with equal payloads of at least `min_bytes`, that with the largest page_id is the response and the
     others revisit it; if repeated rows share it, each of them is a response. Null html is an empty payload. A row with a null
-    page_id is a response only if no row with that payload has an id."""
+    page_id is a response only if no row with that payload has an id. Every record has an identifier of its own. A very long page
+    is a frame of its own. An empty table writes nothing. Columns other than page_id, url and html take no part."""
+    spark = pages.sparkSession
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    # The response of each payload: combined before the shuffle, so a payload of a third of all rows is one row.
-    owners = pages.select(F.col("page_id").cast("long"), F.sha1(payload).alias("owner_digest")).groupBy("owner_digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies"))
-    owners = owners.where("copies > 1").drop("copies")
-    rows = rows.join(owners, F.col("digest") == F.col("owner_digest"), "left")
+    # The response of each payload that more than one row has: combined before the shuffle, so a payload of a third of all rows is one row.
+    owner = F.max(F.struct(F.col("page_id").cast("long").alias("page_id"), F.when(F.col("page_id").isNotNull(), F.col("url")).alias("url")))
+    owners = pages.groupBy(F.sha1(payload).alias("owner_digest")).agg(owner.alias("owner"), F.count("*").alias("copies")).where("copies > 1")
+    owners = common.staged(owners.select("owner_digest", F.col("owner.page_id").alias("owner"), F.col("owner.url").alias("owner_url")), "warc-owners")
+    # Few of them go to the payloads; only many make the payloads move.
+    bytes_ = owners.agg(F.sum(64 + F.octet_length(F.coalesce("owner_url", F.lit(""))))).first()[0] or 0
+    rows = rows.join(F.broadcast(owners) if bytes_ <= broadcast_bytes else owners.hint("merge"), F.col("digest") == F.col("owner_digest"), "left")
     refers = (F.octet_length("payload") >= min_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    rows = rows.select("page_id", "url", "payload", F.when(refers, F.col("owner")).alias("refers_to"))
+    rows = rows.select("page_id", "url", "payload", F.when(refers, F.col("owner")).alias("refers_to"), F.when(refers, F.col("owner_url")).alias("refers_url"))
     rows = rows.sortWithinPartitions("page_id", "url", "refers_to")
 
     def task():
@@ -156,11 +169,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
         def f(x):
             out = {k: [] for k in ("page_id", "record_id", "bundle", "frame", "offset", "length")}
-            for page_id, url, data, refers_to in zip(x["page_id"], x["url"], x["payload"], x["refers_to"], strict=True):
+            for page_id, url, data, refers_to, refers_url in zip(*(x[k] for k in ("page_id", "url", "payload", "refers_to", "refers_url")), strict=True):
                 if state["bundle"].total >= BUNDLE_BYTES:
                     flush()
                 kind = "response" if refers_to is None else "revisit"
-                name, raw = record(page_id, url, data, kind, refers_to, state["n"])
+                name, raw = record(page_id, url, data, kind, refers_to, f"{part}-{state['n']}", refers_url)
                 frame, offset = state["bundle"].add(raw)
                 state["n"] += 1
                 for k, v in zip(out, (page_id, name, path(), frame, offset, len(raw)), strict=True):
@@ -195,21 +208,21 @@ def _with_end(df: DataFrame, task, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _fields(data: bytes, wanted: set[tuple[int, int]] | None = None) -> Iterator[dict]:
-    table = seek_table(data)
-    for number, frame in enumerate(table):
-        if wanted is not None and not any(x == number for x, _ in wanted):
-            continue
+def _record(_: int, fields: dict[str, str], block: bytes, frame: int, offset: int) -> dict:
+    """A parsed record as a row of RECORD without its bundle, checked against its digest."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    size = next(int(x.split(b": ")[1]) for x in head.split(b"\r\n") if x.startswith(b"Content-Length"))
+    kind, name = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and (len(payload) != size or digest(payload) != name):
+        raise ValueError(f"{fields['WARC-Record-ID']} is damaged")
+    ints = {k: int(fields[v]) if v in fields else None for k, v in (("page_id", "X-Page-Id"), ("refers_to", "X-Refers-To-Page-Id"))}
+    return ints | {"url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": name, "record_type": kind, "record_id": fields["WARC-Record-ID"][1:-1], "frame": frame, "offset": offset, "payload": payload if kind == "response" else None}
+
+
+def _fields(data: bytes) -> Iterator[dict]:
+    for number, frame in enumerate(seek_table(data)):
         for offset, fields, block in parse(frame_bytes(data, frame)):
-            if wanted is not None and (number, offset) not in wanted:
-                continue
-            head, _, payload = block.partition(b"\r\n\r\n")
-            size = next(int(x.split(b": ")[1]) for x in head.split(b"\r\n") if x.startswith(b"Content-Length"))
-            kind, name = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-            if kind == "response" and (len(payload) != size or digest(payload) != name):
-                raise ValueError(f"{fields['WARC-Record-ID']} is damaged")
-            ints = {k: int(fields[v]) if v in fields else None for k, v in (("page_id", "X-Page-Id"), ("refers_to", "X-Refers-To-Page-Id"))}
-            yield ints | {"url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": name, "record_type": kind, "record_id": fields["WARC-Record-ID"][1:-1], "frame": number, "offset": offset, "payload": payload if kind == "response" else None}
+            yield _record(offset, fields, block, number, offset)
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
@@ -227,18 +240,58 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
     return files.mapInArrow(run, RECORD)
 
 
-def fetch(spark: SparkSession, folder: str, index: DataFrame, page_ids: list[int]) -> DataFrame:
-    """The records of these pages: the index names bundles, frames and offsets, and only those frames are unpacked."""
-    rows = index.where(F.col("page_id").isin(page_ids)).collect()
-    wanted: dict[str, set[tuple[int, int]]] = {}
-    for r in rows:
-        wanted.setdefault(os.path.basename(r.bundle), set()).add((r.frame, r.offset))
-    out = []
-    if wanted:
-        for r in spark.read.format("binaryFile").load([f"{folder}/{x}" for x in wanted]).collect():
-            out += [x | {"bundle": r.path} for x in _fields(bytes(r.content), wanted[os.path.basename(r.path)])]
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    return spark.createDataFrame([tuple(x[k] for k in names) for x in out], RECORD)
+class _Ranges:
+    """Reads ranges of a file in the shared folder."""
+
+    def __init__(self, uri: str) -> None:
+        if uri.startswith(("file:", "/")):
+            self.file = open("/" + uri.removeprefix("file:").lstrip("/"), "rb")  # noqa: SIM115
+            self.size = os.fstat(self.file.fileno()).st_size
+        else:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(uri)
+            self.file = store.open_input_file(path)
+            self.size = self.file.size()
+        self.read_bytes = 0
+
+    def read(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        self.read_bytes += n
+        return self.file.read(n)
+
+    def frames(self) -> list[tuple[int, int, int]]:
+        """The seek table, from the footer."""
+        n, flags, _ = struct.unpack("<IBI", self.read(self.size - 9, 9))
+        table = n * (12 if flags & 0x80 else 8) + 9
+        return seek_table(self.read(self.size - table, table))
+
+
+def fetch(index: DataFrame, page_ids: list[int] | DataFrame) -> DataFrame:
+    """The records of these pages (a list, or a table with page_id). The executors read a bundle's footer and of its frames only
+    those that the index names; payload is that of responses. Ids without a record give none, null ids none."""
+    if isinstance(page_ids, DataFrame):
+        rows = index.join(page_ids.select("page_id").distinct(), "page_id", "left_semi")
+    else:
+        rows = index.where(F.col("page_id").isin(page_ids))
+    rows = rows.select("bundle", "frame", "offset").repartition(common.partitions(index.sparkSession), "bundle").sortWithinPartitions("bundle", "frame", "offset")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle = file = table = number = frame = None
+        for batch in batches:
+            out = []
+            for path, k, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != bundle:
+                    file = _Ranges(path)
+                    bundle, table, number = path, file.frames(), None
+                if k != number:
+                    at, packed, size = table[k]
+                    number, frame = k, zstandard.ZstdDecompressor().decompress(file.read(at, packed), max_output_size=max(size, 1))
+                out.append(_record(*next(parse(frame[offset:])), k, offset) | {"bundle": path})
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    kinds = common.arrow_schema(RECORD)
+    return rows.mapInArrow(run, RECORD)
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -522,10 +522,32 @@ def test_warc_round_trip(spark):
     assert (by[4].record_type, by[3].record_type, by[3].refers_to, by[4].refers_to) == ("response", "revisit", 4, None)
     assert (by[0].record_type, by[0].refers_to, by[0].payload_bytes) == ("revisit", 1, 0) and by[None].refers_to == 4
     assert by[7].payload_bytes == 1_600_000 and bytes(by[7].payload).decode() == html_[7] and bytes(by[5].payload).decode() == html_[5]
-    assert {(r.page_id, bytes(r.payload)) for r in warc.fetch(spark, folder, index, [5, 6]).collect()} == {(5, html_[5].encode()), (6, html_[6].encode())}
+    assert {(r.page_id, bytes(r.payload)) for r in warc.fetch(index, [5, 6, 99]).collect()} == {(5, html_[5].encode()), (6, html_[6].encode())}
+    some = warc.fetch(index, spark.createDataFrame([(2,), (4,), (None,)], "page_id long")).collect()
+    assert sorted((r.page_id, r.record_type) for r in some) == [(2, "revisit"), (2, "revisit"), (4, "response")]
+    assert len({r.record_id for r in got}) == len(got)
+    again = warc.write_archives(pages.repartition(3), common.new_path(spark, "warc"), broadcast_bytes=0)  # owners by a shuffle
+    kinds = lambda ix: sorted((str(r.page_id), r.payload_digest, r.record_type, str(r.refers_to)) for r in warc.fetch(ix, ix.select("page_id")).collect())
+    assert kinds(again) == kinds(index) and len(kinds(index)) == len(rows) - 1
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_reads_ranges_and_names_apart(spark):
+    rng = random.Random(4)
+    pages = spark.createDataFrame([(7, "u", f"{i} {rng.random()} " * 30) for i in range(16)], "page_id long, url string, html string").repartition(8)
+    folder = common.new_path(spark, "warc")
+    index = warc.write_archives(pages, folder)
+    assert len({r.record_id for r in warc.read_archives(spark, folder).collect()}) == 16
+    big = spark.createDataFrame([(i, "u", rng.randbytes(300_000).hex()) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    r = warc.write_archives(big, common.new_path(spark, "warc")).where("page_id = 5").first()
+    file = warc._Ranges(r.bundle)
+    table = file.frames()
+    file.read(*table[r.frame][:2])
+    assert file.read_bytes < file.size / 4 and len(table) > 6
+    fields = next(warc.parse(warc.record(1, "u", b"x", "revisit", 2, "0-0", "http://o/ 1")[1]))[1]
+    assert fields["WARC-Refers-To-Target-URI"] == "http://o/%201" and "WARC-Refers-To-Date" in fields
+
+
 def test_bundle_is_plain_zstandard():
     import zstandard
 
@@ -556,11 +578,26 @@ def test_neighbours_are_brute_force(spark):
         d = np.sqrt(np.cumsum((x.astype(float) - x[q].astype(float)) ** 2, axis=1)[:, -1])
         order = [i for i in np.lexsort((np.arange(450), d)) if i != q][:10]
         assert [got[q, k + 1] for k in range(10)] == [(i, d[i]) for i in order]
+    joined = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(df, broadcast_bytes=0).collect()}
+    assert joined == got  # queries by a shuffled join
     few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")
     assert [(r["rank"], r.vec_id) for r in ann.search(few).orderBy("rank").collect()] != [] and ann.search(few).count() == 3
     assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id = 7")).count() == 0
 
 
+def test_codes_choose_what_is_reranked():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 128)) * 3
+    x = centres[rng.integers(0, 20, 3000)] + rng.standard_normal((3000, 128)) * 0.3
+    turn, centre, ids = ann.rotation(128), x.mean(0), np.arange(3000)
+    seen = [0, 0]
+    got = ann.nearest(ids, x, *ann.encode(x, centre, turn), ids[:50], x[:50], centre, turn, 10, seen)
+    assert seen[0] == 50 * 3000 and seen[1] < 0.2 * seen[0]
+    for q in range(50):
+        d = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+        assert got[1][got[0] == q].tolist() == [i for i in np.lexsort((ids, d)) if i != q][:10]
+
+
 # Language, toxicity, html
 
 
