@@ -1,8 +1,10 @@
-"""attestry: `eval score`, `annotation import|export|status|iaa`, over a local or submitted Spark session."""
+"""attestry: `eval score|train-evaluator`, `annotation import|export|status|iaa`, `querygen gen-queries`, over a local or submitted
+Spark session. Models are interfaces: a command that needs one takes it as `module:name`, an object or a class without arguments."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from datetime import datetime, timezone
@@ -10,7 +12,7 @@ from typing import Any
 
 from .paths import Workspace
 from .schemas import TASKS
-from .settings import AnnotationSettings, EvalScoreSettings, resolve
+from .settings import AnnotationSettings, EvalScoreSettings, EvalTrainSettings, QueryGenSettings, resolve
 
 __version__ = "0.1.0"
 
@@ -40,6 +42,19 @@ def parse_tasks(text: str) -> list[str]:
     return names
 
 
+def load_object(text: str) -> Any:
+    """The object that `module:name` names; of a class one is made."""
+    module, _, name = text.partition(":")
+    if not module or not name:
+        raise argparse.ArgumentTypeError(f"{text!r} isn't module:name")
+    found = getattr(importlib.import_module(module), name)
+    return found() if isinstance(found, type) else found
+
+
+#: What a query's spec can name, each by an option of its own.
+SPEC_OPTIONS = ("domains", "roles", "languages", "topics", "intents", "tasks", "disallowed_topics", "difficulty", "formats")
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("attestry", description=__doc__)
     top.add_argument("--version", action="version", version=__version__)
@@ -54,7 +69,26 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--n-resamples", type=int)
     s.add_argument("--ci", type=float)
     s.add_argument("--seed", type=int)
+    s.add_argument("--bootstrap", choices=("exact", "scale"), default="exact")
+    s.add_argument("--score-id", help="write the report under the workspace")
     s.add_argument("--out")
+    tr = ev.add_parser("train-evaluator")
+    tr.add_argument("task", choices=TASKS)
+    tr.add_argument("--classifier", required=True, type=load_object)
+    tr.add_argument("--path")
+    tr.add_argument("--export")
+    qg = groups.add_parser("querygen").add_subparsers(dest="command", required=True)
+    g = qg.add_parser("gen-queries")
+    for name in SPEC_OPTIONS:
+        g.add_argument(f"--{name.replace('_', '-')}", type=parse_value)
+    g.add_argument("--planner", required=True, type=load_object)
+    g.add_argument("--realizer", required=True, type=load_object)
+    g.add_argument("--summarizer", type=load_object)
+    g.add_argument("--embedder", type=load_object)
+    g.add_argument("--run-id", default="run")
+    g.add_argument("--n-queries", type=int)
+    g.add_argument("--batch-size", type=int)
+    g.add_argument("--near-duplicate-tolerance", type=float)
     an = groups.add_parser("annotation").add_subparsers(dest="command", required=True)
     i = an.add_parser("import")
     i.add_argument("source")
@@ -75,6 +109,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--after", type=parse_time)
     a.add_argument("--before", type=parse_time)
     a.add_argument("--seed", type=int)
+    a.add_argument("--bootstrap", choices=("exact", "scale"), default="exact")
     return top
 
 
@@ -82,17 +117,29 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
-    from .plans import exchange, iaa, score
+    from .plans import exchange, generate, iaa, score
     from .schemas import export_schema
     from .sources.readers import read_typed_csv
     from .sources.writers import atomic_json
 
     spark = SparkSession.builder.appName("attestry").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     ws = Workspace(args.workspace)
+    if args.group == "querygen":
+        given = {k: v for k, v in (("n_queries", args.n_queries), ("batch_size", args.batch_size), ("near_duplicate_tolerance", args.near_duplicate_tolerance)) if v is not None}
+        spec = {k: getattr(args, k) for k in SPEC_OPTIONS if getattr(args, k) is not None}
+        conf = resolve(QueryGenSettings, args.config, given)
+        out = generate.gen_queries(spark, spec, args.planner, args.realizer, args.summarizer, args.embedder, conf, args.run_id, ws)
+        json.dump({"run_id": args.run_id, "queries": str(ws.queries(args.run_id) / "queries.csv"), "n": out.count()}, sys.stdout, indent=2)
+        print()
+        return 0
+    if args.group == "eval" and args.command == "train-evaluator":
+        conf = resolve(EvalTrainSettings, args.config)
+        print(generate.train_evaluator(None, args.task, args.classifier, workspace=ws, settings=conf, path=args.path, export=args.export))
+        return 0
     if args.group == "eval":
         given = {k: v for k, v in (("n_resamples", args.n_resamples), ("ci", args.ci), ("seed", args.seed)) if v is not None}
         conf = resolve(EvalScoreSettings, args.config, given)
-        report = score.score(spark, args.task, path=args.path, export=args.export, n_resamples=conf.n_resamples, ci=conf.ci, seed=conf.seed, notes=conf.notes)
+        report = score.score(spark, args.task, path=args.path, export=args.export, workspace=ws, score_id=args.score_id, bootstrap=args.bootstrap, n_resamples=conf.n_resamples, ci=conf.ci, seed=conf.seed, notes=conf.notes)
         if args.out:
             atomic_json(args.out, report.to_dict())
         print(score.table(report))
@@ -100,7 +147,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "iaa":
         folder = ws.export(args.export_id)
         frames = {t: read_typed_csv(spark, str(folder / f"{t}.csv"), export_schema(t)) for t in args.tasks if (folder / f"{t}.csv").exists()}
-        out = iaa.agreement_report(frames, seed=args.seed, exclude_annotators=args.exclude, after=args.after, before=args.before, export_id=args.export_id)
+        out = iaa.agreement_report(frames, seed=args.seed, exclude_annotators=args.exclude, after=args.after, before=args.before, export_id=args.export_id, bootstrap=args.bootstrap)
         atomic_json(folder / "iaa.json", out)
     else:
         store = exchange.ParquetStore(spark, args.store)
@@ -109,7 +156,9 @@ def main(argv: list[str] | None = None) -> int:
         elif args.command == "export":
             out = exchange.export_annotations(store, ws, args.export_id, args.tasks, args.include_discarded)
         else:
-            out = {k: v for k, v in exchange.report_status(store, tag_partial_panels=args.tag_partial_panels).items() if k in ("totals", "tags")}
+            found = exchange.report_status(store, tag_partial_panels=args.tag_partial_panels)
+            print(exchange.status_table(found["progress"]), file=sys.stderr)
+            out = {k: v for k, v in found.items() if k in ("totals", "progress", "tags")}
     json.dump(out, sys.stdout, indent=2, default=str)
     print()
     return 0

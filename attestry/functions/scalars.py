@@ -28,9 +28,9 @@ def yes_no(x: Column | str) -> Column:
 
 
 def record_uuid(query: Column | str, answer: Column | str, context_set: Column | str, chunk_ids: Column | str) -> Column:
-    """SHA-256 of the record's content; chunk ids count in sorted order."""
+    """SHA-256 of the record's content; chunk ids count in sorted order. A null field counts as an empty one."""
     ids = F.array_join(F.sort_array(col(chunk_ids)), "|")
-    return F.sha2(F.concat_ws(NUL, col(query), col(answer), col(context_set), ids), 256)
+    return F.sha2(F.concat_ws(NUL, *[F.coalesce(x, F.lit("")) for x in (col(query), col(answer), col(context_set), ids)]), 256)
 
 
 def short_digest(x: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import k_bucket, true_tag
+from ..functions.scalars import k_bucket, task_of, true_tag
 
 BUCKETS = ("k_lt_5", "k_eq_5", "k_gt_5")
 _TASK_ORDER = {"retrieval": 0, "grounding": 1, "generation": 2}
@@ -30,16 +30,20 @@ def panel_completeness(records: DataFrame) -> DataFrame:
     """Export view, by record_uuid: k is the largest positive n_retrieved_chunks, 0 if none; a panel is complete if k > 0 and
     exactly k chunks have a submitted response. At most one integrity warning a panel: k differs from the chunks seen,
     or else some but not all records know k. Records without a uuid are orphans and don't count."""
-    distinct = lambda when: F.count_distinct(F.when(when, F.col("chunk_id")))
     sub, dis, k = F.col("n_submitted") > 0, F.col("n_discarded") > 0, F.col("n_retrieved_chunks")
-    panels = records.where(~_orphan()).groupBy("record_uuid").agg(
-        F.coalesce(F.max(F.when(k > 0, k)), F.lit(0)).alias("k"),
-        F.count_distinct("chunk_id").alias("n_seen"),
-        distinct(sub).alias("n_submitted_chunks"),
-        distinct(dis).alias("n_discarded_chunks"),
-        distinct(sub | dis).alias("n_annotated_chunks"),
-        F.count(F.lit(1)).alias("n_records_seen"),
-        F.count_if(k > 0).alias("n_with_k"),
+    # Chunks first, then panels: a distinct count for each condition would copy every row as often.
+    chunks = records.where(~_orphan()).groupBy("record_uuid", "chunk_id").agg(
+        F.max(F.when(k > 0, k)).alias("k"), F.bool_or(sub).alias("sub"), F.bool_or(dis).alias("dis"), F.bool_or(sub | dis).alias("any"), F.count(F.lit(1)).alias("n"), F.count_if(k > 0).alias("n_k")
+    )
+    seen = F.col("chunk_id").isNotNull()
+    panels = chunks.groupBy("record_uuid").agg(
+        F.coalesce(F.max("k"), F.lit(0)).alias("k"),
+        F.count_if(seen).alias("n_seen"),
+        F.count_if(seen & F.col("sub")).alias("n_submitted_chunks"),
+        F.count_if(seen & F.col("dis")).alias("n_discarded_chunks"),
+        F.count_if(seen & F.col("any")).alias("n_annotated_chunks"),
+        F.sum("n").alias("n_records_seen"),
+        F.sum("n_k").alias("n_with_k"),
     )
     warns = (F.col("k") > 0) & (F.col("k") != F.col("n_seen")) | (F.col("n_with_k") > 0) & (F.col("n_with_k") < F.col("n_seen"))
     return panels.withColumn("panel_complete", (F.col("k") > 0) & (F.col("n_submitted_chunks") == F.col("k"))).withColumn("integrity_warning", warns)
@@ -95,6 +99,15 @@ def status_totals(status: DataFrame, records: DataFrame) -> DataFrame:
     return sums.join(records.agg(F.count_if(_orphan()).alias("n_orphans_skipped")))
 
 
+def dataset_progress(snapshot: DataFrame) -> DataFrame:
+    """workspace, dataset, task, total, completed, pending of a snapshot: a record is completed by as many users' submitted
+    responses as its dataset asks for."""
+    users = F.size(F.array_distinct(F.transform(F.filter("responses", lambda r: r["status"] == "submitted"), lambda r: r["user_id"])))
+    done = F.coalesce(users, F.lit(0)) >= F.coalesce("min_submitted", F.lit(1))
+    task = task_of("dataset")
+    return snapshot.groupBy("workspace", "dataset", task.alias("task")).agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("completed"), F.count_if(~done).alias("pending"))
+
+
 def task_progress(datasets: DataFrame) -> DataFrame:
     """Totals, completed and pending by nothing, by task, by (workspace, task) and by (workspace, dataset, task), in one pass.
 
@@ -114,7 +127,8 @@ def tag_actions(records: DataFrame) -> DataFrame:
 
     A panel is partial if some but not all of its chunks have a submitted response. A record of a partial panel without
     any submitted or discarded response should be tagged; `tags` has its needs_completion values so far."""
-    facts = records.where(~_orphan()).groupBy("workspace", "record_uuid").agg(F.count_distinct("chunk_id").alias("k"), F.count_distinct(F.when(F.col("n_submitted") > 0, F.col("chunk_id"))).alias("done"))
+    chunks = records.where(~_orphan()).groupBy("workspace", "record_uuid", "chunk_id").agg(F.bool_or(F.col("n_submitted") > 0).alias("done"))
+    facts = chunks.groupBy("workspace", "record_uuid").agg(F.count("chunk_id").alias("k"), F.count_if(F.col("done") & F.col("chunk_id").isNotNull()).alias("done"))
     partial = facts.select("workspace", "record_uuid", ((F.col("done") > 0) & (F.col("done") < F.col("k"))).alias("partial"))
     joined = records.join(partial, ["workspace", "record_uuid"])
     should = F.col("partial") & (F.col("n_submitted") + F.col("n_discarded") == 0)

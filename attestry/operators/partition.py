@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dataset_name, record_id, record_uuid, uniform_digest
+from ..functions.scalars import dataset_name, record_id, record_uuid, uniform_digest, unit_id
 from ..schemas import TASKS
 
 
@@ -31,7 +31,7 @@ def units(records: DataFrame, tasks: list[str] | None = None) -> DataFrame:
 
 def is_calibration(seed: Column | int, fractions: dict[str, float]) -> Column:
     """Whether a unit's digest is under its task's fraction of 2**32; 1 and more is always, 0 and less never."""
-    unit = F.when(F.col("chunk_id") != "", F.concat("record_uuid", F.lit(":"), "chunk_id")).otherwise(F.col("record_uuid"))
+    unit = unit_id("record_uuid", "chunk_id")
     out = F.lit(False)
     for task, f in fractions.items():
         rule = F.lit(True) if f >= 1 else F.lit(False) if f <= 0 else uniform_digest(seed, F.col("task"), unit) < int(f * 2**32)
@@ -67,14 +67,25 @@ def assign(units_: DataFrame, manifest: DataFrame | None, seed: int, fractions:
 
 
 def capped(assigned: DataFrame, remaining: dict[str, int], seed: int) -> DataFrame:
-    """Optional: of a task's new calibration units only the `remaining` with the smallest digests stay calibration."""
-    unit = F.when(F.col("chunk_id") != "", F.concat("record_uuid", F.lit(":"), "chunk_id")).otherwise(F.col("record_uuid"))
+    """Optional: of a task's new calibration units only the `remaining` with the smallest digests stay calibration.
+
+    Digests are spread evenly, so the place of the n-th is found in a histogram of their high bits, and only the units of one
+    cell are ranked, however many a task has."""
+    unit = unit_id("record_uuid", "chunk_id")
     new = F.col("is_new") & F.col("is_calibration")
-    rank = F.row_number().over(Window.partitionBy("task", new).orderBy(uniform_digest(seed, F.col("task"), unit), "record_uuid", "chunk_id"))
-    limit = F.lit(2**31 - 1)
+    digest = uniform_digest(seed, F.col("task"), unit)
+    marked = assigned.withColumn("__digest", F.when(new, digest)).withColumn("__cell", F.shiftright("__digest", 12))
+    cells = marked.where(new).groupBy("task", "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("task").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    limit = F.lit(2**62)
     for task, n in remaining.items():
         limit = F.when(F.col("task") == task, F.lit(n)).otherwise(limit)
-    return assigned.withColumn("__over", new & (rank > limit)).withColumn("is_calibration", F.col("is_calibration") & ~F.col("__over")).drop("__over")
+    placed = marked.join(cells.withColumn("__before", before), ["task", "__cell"], "left").withColumn("__limit", limit)
+    edge = F.coalesce(new & (F.col("__before") < F.col("__limit")) & (F.col("__before") + F.col("__n") > F.col("__limit")), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("task", "__cell").orderBy("__digest", "record_uuid", "chunk_id"))
+    sure = placed.where(~edge).withColumn("__over", F.coalesce(new & (F.col("__before") >= F.col("__limit")), F.lit(False)))
+    out = sure.unionByName(placed.where(edge).withColumn("__over", F.col("__before") + rank > F.col("__limit")))
+    return out.withColumn("is_calibration", F.col("is_calibration") & ~F.col("__over")).select(*assigned.columns)
 
 
 def partition_summary(assigned: DataFrame, fractions: dict[str, float]) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators.validate import split_valid
 from ..paths import Workspace
 from ..schemas import MANIFEST, SNAPSHOT, TASKS
 from ..settings import AnnotationSettings
+from ..sharing import with_checkpoints
 from ..sources import writers
 from ..sources.readers import read_records
 
@@ -29,6 +30,8 @@ class RecordStore(Protocol):
 
     def users(self) -> DataFrame | None: ...
 
+    def tag(self, actions: DataFrame) -> None: ...
+
 
 @dataclass
 class ParquetStore:
@@ -41,8 +44,23 @@ class ParquetStore:
         writers.upsert_records(records, f"{self.path}/records")
 
     def snapshot(self) -> DataFrame:
+        writers.settle(self.spark, f"{self.path}/snapshot")
         return self.spark.read.schema(SNAPSHOT).parquet(f"{self.path}/snapshot")
 
+    def tag(self, actions: DataFrame) -> None:
+        """Set and clear the completion tags of records. actions: workspace, dataset, record_uuid, chunk_id, action (tag or clear)."""
+        keys, path = ["workspace", "dataset", "record_uuid", "chunk_id"], f"{self.path}/snapshot"
+        todo = actions.where(F.col("action").isin("tag", "clear")).select(*[F.col(k).alias(f"__{k}") for k in keys], "action").distinct()
+        snapshot = self.snapshot()
+        same = None
+        for k in keys:
+            one = F.coalesce(snapshot[k], F.lit("")) == F.col(f"__{k}")
+            same = one if same is None else same & one
+        tags = F.when(F.col("action") == "tag", F.array(F.lit("true"))).when(F.col("action") == "clear", F.array().cast("array<string>")).otherwise(F.col("tags"))
+        staging = f"{path}.{uuid.uuid4().hex}.staging"
+        snapshot.join(todo, same, "left").withColumn("tags", tags).select(*snapshot.columns).write.parquet(staging)
+        writers.replace_table(self.spark, staging, path)
+
     def users(self) -> DataFrame | None:
         p, store = writers.hadoop(self.spark, f"{self.path}/users")
         return self.spark.read.parquet(f"{self.path}/users") if store.exists(p) else None
@@ -97,7 +115,7 @@ def import_records(spark: SparkSession, source: Any, store: RecordStore, setting
 
 
 def export_annotations(store: RecordStore, workspace: Workspace | None = None, export_id: str | None = None, tasks: list[str] | None = None, include_discarded: bool = False, dataset_id: str = "") -> dict:
-    """One CSV and one Parquet table for each task, and a sidecar. All CSVs appear or none."""
+    """One CSV for each task, and a sidecar. All CSVs appear or none; a submitted annotation without all of its labels is an error."""
     workspace, tasks = workspace or Workspace(), tasks or list(TASKS)
     export_id = export_id or f"{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}_{uuid.uuid4().hex[:8]}"
     folder = workspace.export(export_id)
@@ -117,6 +135,8 @@ def export_annotations(store: RecordStore, workspace: Workspace | None = None, e
     jobs, frames = {}, {}
     for task in tasks:
         rows = responses.annotation_rows(responses.select_datasets(snapshot, task), users, task, include_discarded)
+        if bad := responses.missing_labels(rows, task).select("record_uuid", "annotator_id", "missing").limit(5).collect():
+            raise ValueError(f"submitted {task} annotations lack labels: {[(r.record_uuid, r.annotator_id, r.missing) for r in bad]}")
         frames[task] = responses.export_rows(rows, task, panels if task == "retrieval" else None).persist()
         jobs[str(folder / f"{task}.csv")] = (frames[task], {"header_when_empty": True})
     try:
@@ -147,14 +167,28 @@ def record_table(snapshot: DataFrame) -> DataFrame:
 
 
 def report_status(store: RecordStore, workspace_name: str | None = None, tag_partial_panels: bool = False) -> dict:
-    """Panels, totals, and with tag_partial_panels the actions by record, from one snapshot."""
-    snapshot = responses.select_datasets(store.snapshot(), "retrieval", workspace_name)
-    records = record_table(snapshot)
+    """Panels, totals and the progress of all tasks from one snapshot; with tag_partial_panels the store's tags are set and cleared too."""
+    whole = responses.select_datasets(store.snapshot(), None, workspace_name)
+    records = record_table(responses.select_datasets(whole, "retrieval"))
     status = completeness.panel_status(records)
-    out: dict[str, Any] = {"panels": status, "totals": completeness.status_totals(status, records).first().asDict()}
+    if tag_partial_panels:  # what is reported is read before the tags change
+        with_checkpoints(whole.sparkSession)
+        status = status.checkpoint()
+    progress = [r.asDict() for r in completeness.task_progress(completeness.dataset_progress(whole)).collect()]  # a row for each dataset and total
+    out: dict[str, Any] = {"panels": status, "totals": completeness.status_totals(status, records).first().asDict(), "progress": progress}
     if tag_partial_panels:
-        actions = completeness.tag_actions(records)
-        out["actions"] = actions
+        actions = completeness.tag_actions(records).select("workspace", "dataset", "record_uuid", "chunk_id", "action").checkpoint()
         counts = {r.action: r.n for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
+        out["actions"] = actions
+        if counts.get("tag") or counts.get("clear"):
+            store.tag(actions)
         out["tags"] = {"n_tagged": counts.get("tag", 0), "n_cleared": counts.get("clear", 0), "n_already_tagged": counts.get("already", 0)}
     return out
+
+
+def status_table(progress: list[dict]) -> str:
+    """Progress as aligned text: level, names, total, completed and pending."""
+    rows = [("level", "name", "total", "completed", "pending")]
+    rows += [(r["level"], "/".join(r[k] for k in ("workspace", "dataset", "task") if r[k]), *(str(r[k]) for k in ("total", "completed", "pending"))) for r in progress]
+    widths = [max(len(r[i]) for r in rows) for i in range(5)]
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in rows)

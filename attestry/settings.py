@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
@@ -107,6 +108,67 @@ class EvalScoreSettings:
             raise SettingsError("n_resamples must be positive")
 
 
+@dataclass(frozen=True)
+class EvalTrainSettings:
+    """What a classifier is trained with; train_kwargs go to it as they are."""
+
+    target_name: str = ""
+    checkpoint: str = ""
+    proxy_checkpoint: str = ""
+    scale_learning_rate: bool = True
+    sequence_length: int = 1024
+    train_kwargs: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if self.sequence_length < 1:
+            raise SettingsError("sequence_length must be positive")
+
+    def options(self, task: str) -> dict[str, Any]:
+        """Options for a task, with its default name; checkpoints that aren't set are the classifier's choice."""
+        out = {"target_name": self.target_name or f"{task.capitalize()} evaluation", "scale_learning_rate": self.scale_learning_rate, "sequence_length": self.sequence_length}
+        out |= {k: v for k, v in (("checkpoint", self.checkpoint), ("proxy_checkpoint", self.proxy_checkpoint)) if v}
+        if taken := sorted(set(out) & set(self.train_kwargs)):
+            raise SettingsError(f"train_kwargs {taken} are settings of their own")
+        return out | self.train_kwargs
+
+
+@dataclass(frozen=True)
+class EvalPredictSettings:
+    """evaluator_run_id: empty for the latest of the task; predict_kwargs go to the classifier as they are."""
+
+    evaluator_run_id: str = ""
+    predict_kwargs: dict = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class UserSpec:
+    """An annotator's account as a store may provision it."""
+
+    username: str
+    role: str
+    workspaces: list = field(default_factory=list)
+    password: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.role not in ("owner", "annotator"):
+            raise SettingsError(f"role {self.role!r} is neither owner nor annotator")
+        if not self.username.strip():
+            raise SettingsError("a user has a name")
+
+
+def load_users(path: str | os.PathLike | None) -> list[UserSpec] | None:
+    """Users from a JSON list of objects; no path, no users. Unknown names are errors."""
+    if path is None:
+        return None
+    rows = json.loads(Path(path).expanduser().read_text(encoding="utf-8"))
+    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+        raise SettingsError(f"{path}: a list of objects is needed")
+    known = {f.name for f in fields(UserSpec)}
+    if extra := sorted({k for r in rows for k in r} - known):
+        raise SettingsError(f"{path}: unknown names {extra}")
+    return [UserSpec(**r) for r in rows]
+
+
 @dataclass(frozen=True)
 class QueryGenSettings:
     n_queries: int = 50

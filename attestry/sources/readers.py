@@ -21,43 +21,53 @@ class SourceError(ValueError):
 
 
 def with_order(df: DataFrame) -> DataFrame:
-    """Adds `ord`, ascending in file order: partitions of a scan follow files and places in them."""
+    """Adds `ord`, ascending in the order of a table's rows as Spark has them."""
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Adds `ord` from 0, in order of the files' names and of the rows in each. df: straight from a reader of files.
+
+    Spark packs the splits of several files by falling size, so where there are several the splits are counted first: a split's
+    rows follow those of all splits before it. The counts are one row for each split."""
+    if len(df.inputFiles()) < 2:
+        return with_order(df)
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")).withColumn("__row", F.monotonically_increasing_id())
+    splits = placed.groupBy("__file", "__start").agg(F.min("__row").alias("first"), F.count("*").alias("n")).collect()
+    at, rows = 0, []
+    for r in sorted(splits, key=lambda r: (r["__file"], r["__start"])):
+        rows.append((r["__file"], r["__start"], at - r.first))
+        at += r.n
+    shift = df.sparkSession.createDataFrame(rows, "__file string, __start long, __shift long")
+    return placed.join(shift, ["__file", "__start"]).select(*df.columns, (F.col("__row") + F.col("__shift")).alias("ord"))
+
+
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON file whose root is an array; another root is an error."""
-    text = spark.read.text(path, wholetext=True)
+    """Records of JSON files whose root is an array; another root is an error. A file is one row: JSON Lines is the form for large data."""
+    text = in_file_order(spark.read.text(path, wholetext=True))
     bad = text.where(~F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("[")).count()
     if bad:
         raise SourceError(f"{path}: the root must be an array")
-    parsed = text.select(F.from_json("value", T.ArrayType(IMPORT_RECORD)).alias("rows"))
+    parsed = text.select(F.from_json("value", T.ArrayType(IMPORT_RECORD)).alias("rows"), "ord")
     if parsed.where(F.col("rows").isNull()).count():
         raise SourceError(f"{path}: not valid JSON")
-    return parsed.select(F.posexplode("rows").alias("pos", "r")).select("r.*", F.col("pos").cast("long").alias("ord"))
+    return parsed.select(F.posexplode("rows").alias("pos", "r"), "ord").select("r.*", (F.shiftleft("ord", 32) + F.col("pos")).cast("long").alias("ord"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One record a line; blank lines are skipped; an error names the first bad line, counted from 1."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    """One record a line, read in splits; blank lines are skipped; an error names the first bad line, counted from 1 over all files."""
+    lines = in_file_order(spark.read.text(path, lineSep="\n")).withColumn("line", F.regexp_replace("value", "\r$", ""))
     lines = lines.where(F.length(F.regexp_replace("line", r"(?U)\s+", "")) > 0)
     kind = F.expr("schema_of_variant(try_parse_json(line))")
-    bad = lines.where(F.coalesce(~kind.startswith("OBJECT"), F.lit(True))).agg(F.min("pos").alias("p")).first().p
+    bad = lines.where(F.coalesce(~kind.startswith("OBJECT"), F.lit(True))).agg(F.min("ord").alias("p")).first().p
     if bad is not None:
         raise SourceError(f"{path}: line {bad + 1} is not a JSON object")
-    return lines.select(F.from_json("line", IMPORT_RECORD).alias("r"), F.col("pos").cast("long").alias("ord")).select("r.*", "ord")
-
-
-def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same for large files, split over tasks; line numbers aren't known, bad lines are counted."""
-    lines = with_order(spark.read.text(path)).where(F.length(F.trim("value")) > 0)
-    rows = lines.select(F.from_json("value", IMPORT_RECORD).alias("r"), "value", "ord")
-    return rows.select("r.*", "ord")
+    return lines.select(F.from_json("line", IMPORT_RECORD).alias("r"), "ord").select("r.*", "ord")
 
 
 def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a JSON `chunks` column, or with one row for each chunk; no rows give no records; other columns are an error."""
-    df = with_order(spark.read.options(**_CSV).csv(path))
+    df = in_file_order(spark.read.options(**_CSV).csv(path))
     names = set(df.columns)
     if "chunks" in names:
         return _chunks_column(df, path)
@@ -110,7 +120,7 @@ def read_records(spark: SparkSession, source: Any, format: str = "auto") -> Data
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         raise FileNotFoundError(path)
     kind = os.path.splitext(path)[1].lower().lstrip(".") if format == "auto" else format
-    readers = {"json": read_json_array, "jsonl": read_jsonl, "ndjson": read_jsonl, "csv": read_csv_records, "parquet": lambda s, p: with_order(s.read.parquet(p)), "orc": lambda s, p: with_order(s.read.orc(p))}
+    readers = {"json": read_json_array, "jsonl": read_jsonl, "ndjson": read_jsonl, "csv": read_csv_records, "parquet": lambda s, p: in_file_order(s.read.parquet(p)), "orc": lambda s, p: in_file_order(s.read.orc(p))}
     if kind not in readers:
         raise SourceError(f"unknown format {kind!r}; known: {', '.join(readers)}")
     return readers[kind](spark, path)
@@ -131,9 +141,9 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
         value = F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string")
         value = F.nullif(value, F.lit("")) if f.nullable or not isinstance(f.dataType, T.StringType) else F.coalesce(value, F.lit(""))
         cells.append(value.cast(f.dataType).alias(f.name))
-    return with_order(raw).select(*cells, "ord")
+    return in_file_order(raw).select(*cells, "ord")
 
 
 def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
     """Any CSV with all columns as text, and `ord`."""
-    return with_order(spark.read.options(**_CSV, inferSchema=False).csv(path))
+    return in_file_order(spark.read.options(**_CSV, inferSchema=False).csv(path))

@@ -85,16 +85,31 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def replace_table(spark: SparkSession, staging: str, path: str) -> None:
+    """Put a whole new table in place of an old one, which goes last: after a crash between, settle() finds one of them."""
+    (new, store), (target, _), (old, _) = hadoop(spark, staging), hadoop(spark, path), hadoop(spark, f"{path}.old")
+    store.delete(old, True)
+    if store.exists(target) and not store.rename(target, old):
+        raise OSError(f"cannot move {path}")
+    if not store.rename(new, target):
+        raise OSError(f"cannot rename to {path}")
+    store.delete(old, True)
+
+
+def settle(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table; one that a crash left under its old name comes back."""
+    (target, store), (old, _) = hadoop(spark, path), hadoop(spark, f"{path}.old")
+    if not store.exists(target) and store.exists(old):
+        store.rename(old, target)
+    return store.exists(target)
+
+
 def upsert_records(df: DataFrame, path: str, key: str = "record_id") -> None:
     """A table of records by id: rows of df replace those with the same id. The new table is whole before the old one goes."""
-    spark = df.sparkSession
-    target, store = hadoop(spark, path)
-    new = df
-    if store.exists(target):
+    spark, new = df.sparkSession, df
+    if settle(spark, path):
         old = spark.read.parquet(path)
         new = old.join(df.select(key), key, "left_anti").unionByName(df, allowMissingColumns=True)
     staging = f"{path}.{uuid.uuid4().hex}.staging"
     new.write.parquet(staging)
-    store.delete(target, True)
-    other, _ = hadoop(spark, staging)
-    store.rename(other, target)
+    replace_table(spark, staging, path)

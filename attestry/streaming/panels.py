@@ -9,14 +9,21 @@ from ..operators import partition
 from ..operators.validate import split_valid
 
 
-def submitted_chunks(responses: DataFrame, watermark: str = "1 hour", window: str = "1 day") -> DataFrame:
-    """Submitted and discarded responses by window, workspace and panel; late rows beyond the watermark are dropped by design.
+def panel_stream(responses: DataFrame, watermark: str = "1 hour", window: str = "1 day") -> DataFrame:
+    """Completeness of each panel by window and workspace, exact over the responses seen; late rows beyond the watermark drop by design.
 
-    responses: a stream of workspace, record_uuid, chunk_id, user_id, status, created_at."""
+    responses: a stream of workspace, record_uuid, chunk_id, user_id, status, n_retrieved_chunks, created_at. The state of a panel is
+    the set of its chunks, of which a query has few. A panel is complete if as many chunks as its query retrieved have a submitted response."""
     late = responses.withWatermark("created_at", watermark).where(F.length("record_uuid") > 0)
-    return late.groupBy(F.window("created_at", window), "workspace", "record_uuid").agg(
-        F.approx_count_distinct("chunk_id").alias("n_chunks"), F.count_if(F.col("status") == "submitted").alias("n_submitted"), F.count_if(F.col("status") == "discarded").alias("n_discarded")
+    chunks = lambda *of: F.size(F.collect_set(F.when(F.col("status").isin(*of), F.col("chunk_id"))))
+    panels = late.groupBy(F.window("created_at", window), "workspace", "record_uuid").agg(
+        F.coalesce(F.max(F.when(F.col("n_retrieved_chunks") > 0, F.col("n_retrieved_chunks"))), F.lit(0)).alias("k"),
+        F.size(F.collect_set("chunk_id")).alias("n_seen"),
+        chunks("submitted").alias("n_submitted_chunks"),
+        chunks("discarded").alias("n_discarded_chunks"),
+        chunks("submitted", "discarded").alias("n_annotated_chunks"),
     )
+    return panels.withColumn("panel_complete", (F.col("k") > 0) & (F.col("n_submitted_chunks") == F.col("k")))
 
 
 def assign_stream(records: DataFrame, manifest_path: str, checkpoint: str, seed: int, fractions: dict[str, float], dataset_id: str = ""):

@@ -138,6 +138,15 @@ def test_bootstrap_alpha_examples():
     assert all(math.isnan(x) for x in iaa.alpha_interval(np.zeros(0), np.zeros(0), 10))
 
 
+def test_agreement_bootstrap_at_scale(spark):
+    rng = np.random.default_rng(2)
+    m, k = np.full(3000, 3), rng.integers(0, 4, 3000)
+    pairs = spark.createDataFrame([(f"i{i}", int(a), int(b)) for i, (a, b) in enumerate(zip(m, k))] + [("one", 1, 1)], "item string, m long, k long")
+    want = iaa.alpha_interval(m, k, 300, 0.05, 1)
+    assert iaa.scale_interval(pairs, 300, 0.05, 1) == pytest.approx(want, abs=0.02)
+    assert all(math.isnan(x) for x in iaa.scale_interval(pairs.limit(0), 10, 0.05, 1))
+
+
 def test_kappa_and_agreement(spark):
     df = long(spark, PAIR)
     k = agreement.cohen_kappa(df).first()
@@ -151,7 +160,11 @@ def test_kappa_and_agreement(spark):
 def test_bootstrap_modes_agree_roughly(spark):
     units = spark.range(4000).select(F.col("id").alias("ord"), (F.col("id") % 3 == 0).cast("double").alias("x"))
     exact = score.bootstrap_means(units, ["x"], 300, 0.05, 1).first()
-    scale = score.bootstrap_means(units, ["x"], 300, 0.05, 1, exact_units=10).first()
+    scale = score.bootstrap_means(units, ["x"], 300, 0.05, 1, mode="scale").first()
+    with pytest.raises(ValueError):
+        score.bootstrap_means(units, ["x"], exact_units=10)
+    with pytest.raises(ValueError):
+        score.bootstrap_means(units, ["x"], mode="other")
     assert (exact.mode, scale.mode) == ("exact", "scale")
     assert exact.ci_lower == pytest.approx(scale.ci_lower, abs=0.006) and exact.ci_upper == pytest.approx(scale.ci_upper, abs=0.006)
     assert score.bootstrap_means(units.limit(0), ["x"]).count() == 0
@@ -174,6 +187,71 @@ def test_score_report(spark, tmp_path):
         score.score_frame(ret(spark, [("r1", "c1", 1, 1, 1, 0), ("r1", "c2", 1, 1, 0, 0)]), "retrieval")
 
 
+def test_report_invariants():
+    good = score.Metric(0.5, 0.4, 0.6, "wilson", 3)
+    for bad in ((1.5, 0, 1, "wilson", 3), (0.5, 0.6, 0.4, "wilson", 3), (0.5, 0, 1, "other", 3), (0.5, 0, 1, "wilson", 0)):
+        with pytest.raises(ValueError):
+            score.Metric(*bad)
+    for change in ({"n_examples": 0}, {"ci_level": 1.0}, {"top_k": None}, {"metrics": {"m": None}}):
+        with pytest.raises(ValueError):
+            score.ScoreReport(**({"task": "retrieval", "source": {}, "n_examples": 1, "ci_level": 0.9, "metrics": {"m": good}, "top_k": 2} | change))
+
+
+def test_score_finds_exports(spark, tmp_path):
+    ws = Workspace(tmp_path)
+    rows = [("r1", "c1", 1, 1, 1, 0), ("r1", "c2", 2, 1, 0, 0)]
+    with pytest.raises(FileNotFoundError):
+        score.score(spark, "retrieval", workspace=ws)
+    for i, name in enumerate(("e1", "e2", "e3")):
+        if name != "e3":  # a sidecar alone isn't an export of the task
+            writers.write_csv(ret(spark, rows[: i + 1]).drop("ord"), str(ws.export(name) / "retrieval.csv"))
+        writers.atomic_json(ws.export(name) / "meta.json", {"created_at": f"2026-0{i + 1}-01", "tasks": ["retrieval"]})
+    one = score.score(spark, "retrieval", export="e1", workspace=ws, n_resamples=5, score_id="s1")
+    assert one.source == {"kind": "annotation_export", "ref": "e1", "resolved_path": "annotation/exports/e1/retrieval.csv"} and one.top_k == 1
+    assert json.loads((ws.scores("s1") / "retrieval_scores.json").read_text())["n_examples"] == 1
+    assert score.score(spark, "retrieval", workspace=ws, n_resamples=5).source["ref"] == "e2"
+    for name in ("e3", "e9"):
+        with pytest.raises(FileNotFoundError):
+            score.score(spark, "retrieval", export=name, workspace=ws)
+
+
+def test_rows_are_in_file_order(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    n = {"a": 3, "b": 400, "c": 40}
+    for name, k in n.items():
+        (folder / f"{name}.csv").write_text("record_uuid,v\n" + "".join(f"{name},{i}\n" for i in range(k)))
+        (folder / f"{name}.jsonl").write_text("".join(json.dumps({"query": f"{name} {i}"}) + "\r\n\n" for i in range(k)))
+    got = readers.read_eval_csv(spark, str(folder / "*.csv")).orderBy("ord").collect()
+    want = [(name, str(i)) for name in "abc" for i in range(n[name])]
+    assert [(r.record_uuid, r.v) for r in got] == want and [r.ord for r in got] == list(range(len(want)))
+    lines = readers.read_jsonl(spark, str(folder / "*.jsonl")).orderBy("ord").collect()
+    assert [tuple(r.query.split()) for r in lines] == want
+    whole = str(tmp_path / "split.csv")
+    (tmp_path / "split.csv").write_text("record_uuid,v\n" + "".join(f"r{i},{i}\n" for i in range(5000)))
+    assert [int(r.v) for r in readers.read_eval_csv(spark, whole).orderBy("ord").collect()] == list(range(5000))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")  # splits of a file
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        (folder / "z.jsonl").write_text("".join(json.dumps({"query": f"z {i}"}) + "\n" for i in range(900)))
+        lines = readers.read_jsonl(spark, str(folder / "*.jsonl")).orderBy("ord").collect()
+        assert [tuple(r.query.split()) for r in lines] == want + [("z", str(i)) for i in range(900)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one, two = (spark.createDataFrame([(str(i), v)], "record_id string, v int") for i, v in ((1, 1), (1, 2)))
+    writers.upsert_records(one, path)
+    writers.upsert_records(two, path)
+    assert spark.read.parquet(path).first().v == 2
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as a crash between the two renames leaves it
+    assert writers.settle(spark, path) and spark.read.parquet(path).first().v == 2 and not writers.settle(spark, str(tmp_path / "none"))
+
+
 def test_conditional_fabrication_absent(spark):
     g = spark.createDataFrame([("r", "a", "c", 1, 0, 0, 0, 0, 0)], "record_uuid string, answer string, context_set string, " + ", ".join(f"{x} int" for x in LABEL_COLUMNS["grounding"]) + ", ord long")
     assert score.score_frame(g, "grounding").metrics["conditional_fabrication_rate"] is None
@@ -316,6 +394,19 @@ def test_import_export_round_trip(spark, tmp_path):
     assert ws.latest("annotation/exports", "grounding").name == "e1"
     status = exchange.report_status(store, tag_partial_panels=True)
     assert status["totals"]["n_complete"] == 2 and status["tags"]["n_tagged"] == 0
+    levels = {(r["level"], r["task"]): r["total"] for r in status["progress"]}
+    assert levels[("grand", None)] == 3 and status["progress"][0]["completed"] == 3 and "retrieval_calibration" in exchange.status_table(status["progress"])
+    half = [(*x[:-1], [] if i % 2 and x[4] == data[0][4] else x[-1]) for i, x in enumerate(data)]
+    other = exchange.ParquetStore(spark, str(tmp_path / "half"))
+    spark.createDataFrame(half, SNAPSHOT).write.parquet(str(tmp_path / "half/snapshot"))
+    n = exchange.report_status(other, tag_partial_panels=True)["tags"]["n_tagged"]
+    assert n == sum(not x[-1] for x in half) == other.snapshot().where("array_contains(tags, 'true')").count()
+    assert exchange.report_status(other, tag_partial_panels=True)["tags"] == {"n_tagged": 0, "n_cleared": 0, "n_already_tagged": n}
+    lacking = [(*x[:-1], [a for a in x[-1] if a[1] != "misleading"]) for x in data]
+    spark.createDataFrame(lacking, SNAPSHOT).write.parquet(str(tmp_path / "lack/snapshot"))
+    with pytest.raises(ValueError, match="misleading"):
+        exchange.export_annotations(exchange.ParquetStore(spark, str(tmp_path / "lack")), ws, "e3", ["retrieval"])
+    assert not ws.export("e3").exists()
     report = iaa.agreement_report({"retrieval": csv}, n_resamples=10, seed=1)
     assert report["tasks"][0]["labels"][0]["alpha"] is None and report["tasks"][0]["pairwise_kappa"] == []
 
@@ -395,6 +486,85 @@ def test_classifier_frames(spark):
         generate.train_evaluator(df, "retrieval", None, text=1)
 
 
+class Trainer:
+    def train(self, frame, options):
+        self.seen = frame.count(), options
+        return "run7"
+
+    def predict(self, frame, model):
+        return frame.withColumn("model", F.lit(model))
+
+
+def test_training_runs_are_found(spark, tmp_path):
+    from attestry.settings import EvalTrainSettings, UserSpec, load_users
+
+    ws, t = Workspace(tmp_path), Trainer()
+    df = ret(spark, [("r", "a", 1, 1, 0, 0)])
+    writers.write_csv(df.drop("ord"), str(ws.export("e1") / "retrieval.csv"))
+    writers.atomic_json(ws.export("e1") / "meta.json", {"created_at": "2026", "tasks": ["retrieval"]})
+    assert generate.train_evaluator(None, "retrieval", t, workspace=ws, settings=EvalTrainSettings(checkpoint="c"), epochs=2) == "run7"
+    assert t.seen == (1, {"target_name": "Retrieval evaluation", "scale_learning_rate": True, "sequence_length": 1024, "checkpoint": "c", "epochs": 2})
+    assert json.loads((ws.training("run7") / "meta.json").read_text())["annotation_export_id"] == "e1"
+    plain = df.select("query", "chunk", "record_uuid", "chunk_id", "chunk_rank")
+    assert generate.predict_labels(plain, "retrieval", t, workspace=ws).first().model == "run7"
+    for task, run in (("grounding", None), ("retrieval", "run8")):
+        with pytest.raises(FileNotFoundError):
+            ws.evaluator(task, run)
+    with pytest.raises(ValueError):
+        ws.evaluator("grounding", "run7")
+    (tmp_path / "u.json").write_text('[{"username": "a", "role": "annotator"}]')
+    assert load_users(tmp_path / "u.json") == [UserSpec("a", "annotator")] and load_users(None) is None
+    (tmp_path / "u.json").write_text('[{"username": "a", "role": "king"}]')
+    with pytest.raises(SettingsError):
+        load_users(tmp_path / "u.json")
+
+
+def test_prompt_variables():
+    spec = {"domains": generate.canonical_choices(["a", "b"]), "roles": None}
+    out = generate.planning_variables(spec, ["c001", "c002"], {"notes": "x\n y", "gaps": "z"})
+    assert out == {"domains": "a (weight=0.5), b (weight=0.5)", "roles": "Not specified", "n_queries": 2, "candidate_ids": "c001, c002", "memory": "- gaps: z\n- notes: x  y\n"}
+    with pytest.raises(ValueError):
+        generate.planning_variables(spec, [])
+
+
+def test_error_log(tmp_path):
+    import logging
+
+    from attestry.errorlog import error_log
+
+    with error_log(tmp_path) as path:
+        logging.getLogger("attestry.x").warning("no")
+    assert not path.exists()
+    with pytest.raises(KeyError), error_log(tmp_path):
+        logging.getLogger("attestry.x").error("yes")
+        raise KeyError("k")
+    assert "yes" in path.read_text() and "KeyError" in path.read_text()
+
+
+def test_panel_stream(spark, tmp_path):
+    from attestry.streaming.panels import panel_stream
+
+    rows = [("w", "r1", "a", "u1", "submitted", 2), ("w", "r1", "a", "u2", "submitted", 2), ("w", "r1", "b", "u1", "discarded", 2), ("w", "r2", "a", "u1", "submitted", 1), ("w", "", "a", "u1", "submitted", 1)]
+    kinds = "workspace string, record_uuid string, chunk_id string, user_id string, status string, n_retrieved_chunks int"
+    spark.createDataFrame(rows, kinds).withColumn("created_at", F.lit("2026-01-01 10:00:00").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kinds + ", created_at timestamp").parquet(str(tmp_path / "in"))
+    q = panel_stream(stream).writeStream.format("memory").queryName("panels").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.record_uuid: (r.k, r.n_seen, r.n_submitted_chunks, r.n_discarded_chunks, r.n_annotated_chunks, r.panel_complete) for r in spark.table("panels").collect()}
+    assert got == {"r1": (2, 2, 1, 1, 2, False), "r2": (1, 1, 1, 0, 1, True)}
+
+
+def test_cap_keeps_the_smallest_digests(spark):
+    rows = [(t, f"r{i}", "", i % 5 != 0, i % 3 != 0) for t in ("grounding", "generation") for i in range(300)]
+    df = spark.createDataFrame(rows, "task string, record_uuid string, chunk_id string, is_calibration boolean, is_new boolean")
+    out = partition.capped(df, {"grounding": 37}, 5)
+    digest = {(r.task, r.record_uuid): r.d for r in df.select("task", "record_uuid", scalars.uniform_digest(5, F.col("task"), F.col("record_uuid")).alias("d")).collect()}
+    new = sorted((digest[t, u], u) for t, u, _, cal, fresh in rows if t == "grounding" and cal and fresh)
+    gone = {u for _, u in new[37:]}
+    got = {(r.task, r.record_uuid): r.is_calibration for r in out.collect()}
+    assert got == {(t, u): cal and not (t == "grounding" and fresh and u in gone) for t, u, _, cal, fresh in rows} and out.columns == df.columns
+
+
 def test_settings():
     assert deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": UNSET, "c": 3}}) == {"a": {"b": 1, "c": 3}}
     assert environment("P", {"P_A__B": "1", "Q": "2"}) == {"a": {"b": "1"}}
@@ -421,6 +591,19 @@ def test_cli_parsers():
     assert cli.parse_value('["a"]') == ["a"] and cli.parse_value("[1]") == "[1]" and cli.parse_value("x") == "x"
     assert cli.parse_time("2026-05-01").startswith("2026-05-01 00:00:00")
     assert cli.parser().parse_args(["eval", "score", "retrieval", "--path", "x"]).path == "x"
+    args = cli.parser().parse_args(["querygen", "gen-queries", "--domains", '["a", "b"]', "--planner", "json:JSONDecoder", "--realizer", "json:loads"])
+    assert args.domains == ["a", "b"] and isinstance(args.planner, json.JSONDecoder) and args.realizer is json.loads
+    assert cli.parser().parse_args(["eval", "train-evaluator", "retrieval", "--classifier", "json:loads"]).export is None
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["eval", "train-evaluator", "retrieval", "--classifier", "json"])
+
+
+def test_cli_makes_queries(spark, tmp_path, capsys, monkeypatch):
+    from attestry import cli
+
+    monkeypatch.setitem(__import__("sys").modules, "tests_models_here", __import__("types").SimpleNamespace(Model=Model))
+    assert cli.main(["--workspace", str(tmp_path), "querygen", "gen-queries", "--domains", "x", "--planner", "tests_models_here:Model", "--realizer", "tests_models_here:Model", "--n-queries", "3", "--run-id", "q1"]) == 0
+    assert json.loads(capsys.readouterr().out)["run_id"] == "q1" and (tmp_path / "querygen" / "runs" / "q1" / "queries.csv").exists()
 
 
 def test_streaming_assignment(spark, tmp_path):
