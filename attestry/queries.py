@@ -12,6 +12,7 @@ from .functions.stats import z_value
 from .operators import agreement, completeness, constraints, dedup, frames, metrics, partition, querygen, validate
 from .operators.consolidate import consolidate
 from .operators.validate import split_valid
+from .schemas import BLUEPRINT_FIELDS
 from .sources.readers import nest_chunks
 
 Z = repr(z_value(0.05))
@@ -227,6 +228,40 @@ def near_dup_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.near_dup_greedy(vectors, 0.3).select("id")
 
 
+def blueprint_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical JSON keys of blueprints made from events, and the first of each."""
+    text = lambda c: F.col(c).cast("string")
+    e = fx.table(spark, sf, "events")
+    columns = {
+        "domain": text("event_type"),
+        "role": F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string")),
+        "language": F.lit("en"),
+        "topic": F.when(F.col("user_id") % 3 > 0, F.concat(F.lit('say "'), (F.col("user_id") % 3).cast("string"), F.lit('"'))),
+    }
+    blueprints = e.select(F.col("event_id").alias("ord"), *[columns.get(c, F.lit(None).cast("string")).alias(c) for c in BLUEPRINT_FIELDS])
+    return dedup.first_by_key(querygen.with_key(blueprints), ["content_key"]).select("ord", "content_key")
+
+
+def import_record_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """What validation says of import records with blank texts, repeated chunk ids and ranks below 1."""
+    pairs = fx.query_pairs(spark, sf)
+    broken = F.transform(
+        "chunks",
+        lambda c: c.withField("chunk_id", F.when((F.col("conv_id") % 5 == 0) & (c["chunk_rank"] == 3), F.get("chunks", F.lit(0))["chunk_id"]).otherwise(c["chunk_id"])).withField("chunk_rank", F.when(F.col("conv_id") % 7 == 0, 0).otherwise(c["chunk_rank"])),
+    )
+    rows = pairs.withColumn("chunks", F.when(F.col("conv_id") % 11 == 0, F.array().cast(pairs.schema["chunks"].dataType)).otherwise(broken)).withColumn("query", F.when(F.col("turn") % 4 == 2, F.lit(" \t")).otherwise(F.col("query")))
+    _, bad = split_valid(rows)
+    return bad.select("ord.conv_id", "ord.turn", F.array_join("errors", "; ").alias("errors"))
+
+
+def submitted_without_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Submitted generation annotations that lack labels, and which."""
+    from .operators import responses
+
+    rows = fx.bad_generation(spark, sf).withColumn("response_status", F.when(F.col("ord") % 2 == 0, "submitted").otherwise("discarded"))
+    return responses.missing_labels(rows, "generation").select("record_uuid", F.array_join("missing", ",").alias("missing"))
+
+
 def align_first_by_id(spark: SparkSession, sf: str) -> DataFrame:
     items = fx.table(spark, sf, "events").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("candidate_id"), F.col("event_id").alias("item"), F.struct("ts", "event_id").alias("ord"))
     expected = fx.table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("candidate_id"), F.col("c_custkey").alias("ord"))
@@ -383,6 +418,23 @@ def oracle_sql() -> dict[str, str]:
         "denormalised_to_nested": f"WITH {_RET} SELECT query, count(*) AS n_chunks, string_agg(chunk_id || ':' || annotator_id || ':' || chunk_rank || ':' || chunk, '|' ORDER BY ord) AS chunks FROM ret GROUP BY record_uuid, query",
         "fan_out_counts": f"""WITH {_PAIR}, {_UNIT} SELECT task || CASE WHEN is_calibration THEN '_calibration' ELSE '_production' END || '_demo' AS dataset, count(*) AS n, min(CASE task WHEN 'retrieval' THEN 'ret-' || record_uuid || '-' || substr(sha256(chunk_id), 1, 16) WHEN 'grounding' THEN 'gnd-' || record_uuid ELSE 'gen-' || record_uuid END) AS first_id, count(*) FILTER (task = 'retrieval') AS n_ranks FROM asg GROUP BY 1""",
         "exact_dedup_first": "SELECT min(doc_id) AS doc_id, content_key FROM (SELECT doc_id, sha256(text) AS content_key FROM documents) GROUP BY content_key",
+        "near_dup_greedy": """WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+          p AS (SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON a.id < b.id AND list_cosine_similarity(a.x, b.x) >= 0.3),
+          s AS (SELECT i, list(j) AS js, row_number() OVER (ORDER BY i) AS n FROM p GROUP BY i),
+          r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS gone
+                UNION ALL SELECT s.n, CASE WHEN list_contains(r.gone, s.i) THEN r.gone ELSE list_concat(r.gone, s.js) END FROM r JOIN s ON s.n = r.n + 1)
+          SELECT id FROM v WHERE NOT list_contains((SELECT gone FROM r ORDER BY n DESC LIMIT 1), id)""",
+        "blueprint_keys": """WITH b AS (SELECT event_id AS ord, '{"domain":"' || event_type || '","role":"r' || (user_id % 5) || '","language":"en","topic":'
+            || CASE WHEN user_id % 3 > 0 THEN '"say \\"' || (user_id % 3) || '\\""' ELSE 'null' END
+            || ',"intent":null,"task":null,"difficulty":null,"format":null,"user_scenario":null,"information_need":null}' AS body FROM events)
+          SELECT min(ord) AS ord, sha256(body) AS content_key FROM b GROUP BY body""",
+        "import_record_errors": f"""WITH {_PAIR}, t AS (SELECT conv_id, turn, bool_or({_STRIP('d.text')} = '') AS no_text FROM ch JOIN documents d ON 'd' || d.doc_id = ch.chunk_id GROUP BY conv_id, turn),
+          x AS (SELECT conv_id, turn, concat_ws('; ', CASE WHEN turn % 4 = 2 OR query = '' THEN 'query is blank' END, CASE WHEN answer = '' THEN 'answer is blank' END,
+            CASE WHEN conv_id % 11 = 0 THEN 'chunks is empty' END, CASE WHEN conv_id % 11 > 0 AND conv_id % 5 = 0 THEN 'chunk_id repeats' END,
+            CASE WHEN conv_id % 11 > 0 AND no_text THEN 'chunk text is blank' END, CASE WHEN conv_id % 11 > 0 AND conv_id % 7 = 0 THEN 'chunk_rank is not a rank' END) AS errors FROM pr JOIN t USING (conv_id, turn))
+          SELECT conv_id, turn, errors FROM x WHERE errors <> ''""",
+        "submitted_without_labels": """SELECT CAST(doc_id AS VARCHAR) AS record_uuid, 'proper_action,helpful,incomplete' AS missing
+          FROM labels JOIN documents USING (doc_id) WHERE doc_id % 19 = 0 AND doc_id % 17 <> 0 AND doc_id % 2 = 0""",
         "align_first_by_id": "WITH e AS (SELECT 'c' || user_id AS candidate_id, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) SELECT candidate_id, item, c_custkey AS ord FROM e JOIN customer ON 'c' || c_custkey = candidate_id WHERE r = 1 AND c_custkey % 2 = 0",
         "assemble_queries": "SELECT 'run_q' || row_number() OVER (ORDER BY -n_nationkey) AS query_id, 'what about ' || n_name AS query, n_name AS domain, n_regionkey::VARCHAR AS role FROM nation WHERE n_nationkey % 3 <> 0",
         "duplicate_unit_guard": f"WITH {_RET} SELECT 'record_uuid,chunk_id' AS keys, coalesce(sum(c), 0)::BIGINT AS n_rows FROM (SELECT count(*) AS c FROM ret GROUP BY record_uuid, chunk_id HAVING count(*) > 1) UNION ALL SELECT 'record_uuid,chunk_rank', coalesce(sum(c), 0)::BIGINT FROM (SELECT count(*) AS c FROM ret GROUP BY record_uuid, chunk_rank HAVING count(*) > 1)",

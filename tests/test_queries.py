@@ -36,5 +36,5 @@ def test_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    no_sql = {"bootstrap_ci_retrieval", "near_dup_greedy"}  # random draws; an iteration with vectors
+    no_sql = {"bootstrap_ci_retrieval"}  # random draws
     assert set(queries.queries()) - set(queries.oracle_sql()) == no_sql
