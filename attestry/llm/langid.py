@@ -58,35 +58,43 @@ class Model:
     landmarks: np.ndarray
     weights: np.ndarray
     sharpness: float = 6.0
-    #: Share of a text's n-grams that the landmarks have, under which it is in no language that was learned.
+    #: Share of a text's letters and letter pairs that the landmarks have, under which it is in no language that was learned. Longer
+    #: n-grams don't tell, as a long text has ever more that are rare.
     floor: float = 0.0
 
-    def known(self, text: str) -> float:
-        """The share of the text's n-grams that the landmarks have."""
-        found, _ = grams(text, np.zeros(ORDERS * WIDTH, bool))
-        return float((self.columns[found] >= 0).mean()) if len(found) else 0.0
-
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Kernel of each text and each landmark."""
-        rows, seen = np.zeros((len(texts), len(self.landmarks)), np.float32), np.zeros(ORDERS * WIDTH, bool)
+        return self._kernel(texts)[0]
+
+    def _kernel(self, texts: list[str]) -> tuple[np.ndarray, list[float]]:
+        """The kernel, and the share of each text's letters and pairs that the landmarks have."""
+        rows, seen, shares = np.zeros((len(texts), len(self.landmarks)), np.float32), np.zeros(ORDERS * WIDTH, bool), []
         for i, text in enumerate(texts):
             found, counts = grams(text, seen)
             at = self.columns[found]
             known = at >= 0
             rows[i, at[known]] = (1 / (ORDERS * np.sqrt(np.maximum(counts, 1))))[found[known] // WIDTH]
-        return rows @ self.landmarks
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language and its share of the softmax over all; `und` and 0 for null or no letters. Ties: the first by name."""
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            short = known[: counts[:2].sum()]
+            shares.append(float(short.mean()) if len(short) else 0.0)
+        return rows @ self.landmarks, shares
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """The language, its share of the softmax over all, and the share of known letters and pairs; `und`, 0 and 0 for null or no
+        letters. Ties: the first by name."""
+        names, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         use = [i for i, x in enumerate(texts) if x and _LETTER.search(x)]
         for block in common.chunks(use if self.languages else [], 128):
-            out = self.kernel([texts[i] for i in block]) @ self.weights
+            kernel, known = self._kernel([texts[i] for i in block])
+            out = kernel @ self.weights
             share = np.exp(self.sharpness * (out - out.max(1, keepdims=True)).astype(np.float64))
             share /= share.sum(1, keepdims=True)
-            for i, k, s in zip(block, share.argmax(1), share.max(1), strict=True):
-                names[i], scores[i] = self.languages[k], float(s)
-        return names, scores
+            for i, k, s, part in zip(block, share.argmax(1), share.max(1), known, strict=True):
+                names[i], scores[i], shares[i] = self.languages[k], float(s), part
+        return names, scores, shares
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language and its score of each text, as judged."""
+        return self.judge(texts)[:2]
 
 
 def fit_texts(texts: list[str], labels: list[str], landmarks_each: int = 24, ridge: float = 1e-3, max_landmarks: int = 1500) -> Model:
@@ -105,7 +113,8 @@ def fit_texts(texts: list[str], labels: list[str], landmarks_each: int = 24, rid
     for j, (x, counts) in enumerate(found):
         table[columns[x], j] = (1 / np.sqrt(np.maximum(counts, 1)))[x // WIDTH]
     model = Model(languages, columns, table, np.zeros((len(marks), len(languages))))
-    cross = np.concatenate([model.kernel(block) for block in common.chunks(texts, 128)]).astype(np.float64)
+    blocks = [model._kernel(block) for block in common.chunks(texts, 128)]
+    cross, shares = np.concatenate([x for x, _ in blocks]).astype(np.float64), [s for _, x in blocks for s in x]
     values, vectors = np.linalg.eigh(cross[marks])
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -114,7 +123,7 @@ def fit_texts(texts: list[str], labels: list[str], landmarks_each: int = 24, rid
     balance = np.array([1 / labels.count(x) for x in labels]) * len(labels) / len(languages)
     gram = (features * balance[:, None]).T @ features + ridge * len(texts) * np.eye(features.shape[1])
     # Texts that aren't landmarks tell how much of a text is known; half of what almost all have is too little.
-    model.floor = 0.5 * float(np.quantile([model.known(texts[i]) for i in sorted(set(range(len(texts))) - set(marks)) or marks], 0.01))
+    model.floor = 0.5 * float(np.quantile([shares[i] for i in sorted(set(range(len(texts))) - set(marks)) or marks], 0.01))
     model.weights = (root @ np.linalg.solve(gram, (features * balance[:, None]).T @ target)).astype(np.float32)
     return model
 
@@ -166,7 +175,7 @@ def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None) -> DataFrame:
     """The rows of docs in a language that was learned, or in one of `languages`; where `lang` is null it is the predicted one.
 
-    Texts go that are null, have no letters, or of whose n-grams the landmarks have less than the model's floor. A model
+    Texts go that are null, have no letters, or of whose letters and pairs the landmarks have less than the model's floor. A model
     without languages is an error if there is a text with letters: nothing tells what to keep. Repeated rows stay, an
     empty table stays empty; other columns stay as they are."""
     spark = common.configure(docs.sparkSession)
@@ -179,8 +188,8 @@ def accepted(docs: DataFrame, model: Model, languages: list[str] | None = None)
     def task():
         def f(x):
             m = shared.value
-            names, _ = m.predict(x["text"])
-            keep = [i for i, name in enumerate(names) if name != UNKNOWN and (languages is None or name in languages) and m.known(x["text"][i]) >= m.floor]
+            names, _, shares = m.judge(x["text"])
+            keep = [i for i, name in enumerate(names) if name != UNKNOWN and (languages is None or name in languages) and shares[i] >= m.floor]
             if "lang" in x:
                 x["lang"] = [name if v is None else v for v, name in zip(x["lang"], names, strict=True)]
             return {c: [x[c][i] for i in keep] for c in columns}
