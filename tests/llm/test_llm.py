@@ -858,3 +858,49 @@ def test_oracle(spark, name):
     columns = sorted(df.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_one_very_long_text_through_every_operator(spark, trees):
+    rng = random.Random(12)
+    body = line(rng, 40_000)
+    long = " ".join(" ".join(rng.sample(WORDS, 300)) for _ in range(17_000)) + f" {body}"
+    assert len(long) > 20_000_000
+    df = docs(spark, [f"short {body[:400]}", body, long, "x"])
+    path = common.public_tokenizer("word_bpe_49k.json")
+    model = langid.fit_texts([line(rng, 900) for _ in range(8)] + ["der hund und"] * 8, ["en"] * 8 + ["de"] * 8)
+    assert langid.identify(df, model).count() == 4 and langid.accepted(df, model).count() >= 3
+    assert simhash.near_duplicates(df).count() == 4 and neardup.keep_first(df).count() == 4
+    item = " ".join(long.split()[-700:-660])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(df, bench).collect()} == {1, 2}
+    rows = {r.doc_id: r for r in tokenstore.round_trip(df, path, 2).collect()}
+    assert rows[2].n_tokens > 5_000_000 and rows[2].start == rows[0].n_tokens + rows[1].n_tokens
+    placed = packing.pack(df, common.public_tokenizer("byte_bpe_50k.json"), 2048, 0)
+    assert placed.where("doc_id = 2").agg(F.sum("length")).first()[0] > 5_000_000
+    cut = {r.doc_id: r for r in substring.substring_dedup(df).collect()}
+    assert 39_900 <= cut[2].n_removed < 41_000 and cut[1].n_removed == len(body[:400].split())
+    bad = spark.createDataFrame([(i, int(i % 2)) for i in range(4)], "doc_id long, toxic int")
+    assert toxicity.score(df, toxicity.fit(bad, df)).count() == 4
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{long}</p></article>"), (2, "v", "<p>a")], "page_id long, url string, html string")
+    assert html.extract(pages, trees).where("page_id = 1").first().n_chars == len(" ".join(long.split()))
+    assert {r.payload_bytes for r in warc.archive(pages).collect()} == {len(f"<article><p>{long}</p></article>"), 4}
+
+
+def test_pipeline_on_an_empty_table_and_on_repeated_rows(spark):
+    import corpus_pipeline
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    left = base.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        left = stage(spark, left, SF)
+        assert left.count() == 0
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, "", "en", "s", 0), (2, "½ 12", None, "s", 1)], base.schema)
+    few = base.orderBy("doc_id").limit(60)
+    once, twice = few.unionAll(odd).withColumn("label", F.lit("x")), few.unionAll(few).unionAll(odd).unionAll(odd).withColumn("label", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        once, twice = (common.staged(stage(spark, x, SF), "stage") for x in (once, twice))
+        assert once.columns == twice.columns == [*base.columns, "label"]
+        assert {r.doc_id for r in once.collect()} == {r.doc_id for r in twice.collect()}, name
+        if name == "simhash_near_dedup":
+            assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    assert corpus_pipeline.best_fit_packing(spark, twice, SF).select("doc_id").distinct().count() == once.count()
