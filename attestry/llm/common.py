@@ -80,12 +80,12 @@ def stream(df: DataFrame, each: Callable[[], Callable[[dict[str, list]], dict[st
     return df.mapInArrow(run, schema)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFrame:
     """A staged table dealt by `key` (hash) into as many buckets as there are shuffle partitions: later joins and groups by that
-    key alone move the other side, not these rows."""
+    key alone move the other side, not these rows. dealt: rows lie by the key already, so they aren't moved to be written."""
     spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"attestry_{uuid.uuid4().hex}"
     n = partitions(spark)
-    df.repartition(n, key).write.bucketBy(n, key).format("parquet").options(compression="zstd", path=path).saveAsTable(table)
+    (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).format("parquet").options(compression="zstd", path=path).saveAsTable(table)
     out = spark.table(table)
     out.schema  # resolves it, so that the catalog's entry can go; the files stay
     spark.sql(f"DROP TABLE {table}")

@@ -139,11 +139,23 @@ def plain(text: str | None) -> str:
     return b" ".join(text.encode("utf-8", "surrogatepass").split()).decode("utf-8", "surrogatepass") if text else ""
 
 
-RUNS = "row long, doc_id long, first int, n int, place int, anchor long"
+RUNS = "row long, doc_id long, run long, anchor long"
+#: Bits of a run for its number of windows, and for the anchor's place after the first.
+_N, _PLACE = 12, 12
+
+
+def packed(first: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A run as one number: its first window, how many windows, the anchor's place."""
+    return (first << (_N + _PLACE)) | (n << _PLACE) | (place - first)
+
+
+def unpacked(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = runs >> (_N + _PLACE)
+    return first, (runs >> _PLACE) & ((1 << _N) - 1), first + (runs & ((1 << _PLACE) - 1))
 
 
 def runs_of(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """Each run of each document: its first window, how many windows, the anchor's place and hash. docs: row, doc_id (not null), text."""
+    """Each run of each document, with its anchor's hash. docs: row, doc_id (not null), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +183,7 @@ def _spans(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, window: int, phrase: int) -> tuple | None:
-    """(row, first, n, place, anchor) of the runs of the rows between the offsets."""
+    """(row, run, anchor) of the runs of the rows between the offsets."""
     # A row's end parts words, which a space between rows does.
     n = len(offsets) - 1
     spaced = np.full(len(data) + n, 32, np.uint8)
@@ -192,7 +204,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, window: int, phrase: int) -> tu
     begin = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])])
     size = np.diff(np.r_[begin, len(at)])
     own, at = own[begin], at[begin]
-    return own, (whole[begin] - edges[own]).astype(np.int32), size.astype(np.int32), (at - edges[own]).astype(np.int32), h[at].view(np.int64)
+    return own, packed(whole[begin] - edges[own], size, at - edges[own]), h[at].view(np.int64)
 
 
 def automaton(phrases: Iterable[str]) -> ahocorasick.Automaton:
@@ -230,7 +242,7 @@ def phrases_at(docs: DataFrame, phrase: int) -> DataFrame:
             out = {"row": [], "doc_id": [], "phrase": []}
             for row, doc_id, text, runs in zip(x["row"], x["doc_id"], x["text"], x["runs"], strict=True):
                 words = plain(text).split(" ")
-                found = sorted({" ".join(words[p : p + phrase]) for p in {r["place"] for r in runs}})
+                found = sorted({" ".join(words[p : p + phrase]) for p in unpacked(np.array(runs, np.int64))[2].tolist()})
                 out["row"] += [row] * len(found)
                 out["doc_id"] += [doc_id] * len(found)
                 out["phrase"] += found
@@ -260,13 +272,14 @@ def located(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 here = occurrences(f" {line} ", words, machine)
                 if not here or not runs:
                     continue
-                here = set(here)
-                for r in runs:
-                    first, n, place = r["first"], r["n"], r["place"]
-                    if place in here:
-                        name = _digest(" ".join(words[place : place + phrase]))
-                        kind = _digest(f"{place - first} {' '.join(words[first : first + n + window - 1])}")
-                        out.setdefault((row, doc_id, name, kind, n), []).append(first)
+                first_, n_, place_ = unpacked(np.array(runs, np.int64))
+                use = np.isin(place_, here)
+                names: dict[int, int] = {}
+                for first, n, place in zip(first_[use].tolist(), n_[use].tolist(), place_[use].tolist(), strict=True):
+                    if (name := names.get(place)) is None:
+                        name = names[place] = _digest(" ".join(words[place : place + phrase]))
+                    kind = _digest(f"{place - first} {' '.join(words[first : first + n + window - 1])}")
+                    out.setdefault((row, doc_id, name, kind, n), []).append(first)
             if out:
                 columns = [*zip(*out, strict=True), list(out.values())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
@@ -310,42 +323,44 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _cuts(dealt: DataFrame, window: int, phrase: int) -> DataFrame:
-    """row, cuts (first window and how many) of the rows that lose words. dealt: a table in buckets by ROW, with doc_id and text."""
+    """row, cuts (the first window, and in the lowest bits how many) of the rows that lose words. dealt: a table in buckets by ROW, with doc_id and text."""
     docs = dealt.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     found = common.staged(runs_of(usable, window, phrase), "runs")
     # What joins by anchor, phrase or class is staged first, so that a hot one can be split.
     again = common.staged(found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
-    places = found.select("row", "first", "n", "place", "anchor").join(again, "anchor")
-    runs = common.staged(places.groupBy("row").agg(F.collect_list(F.struct("first", "n", "place")).alias("runs")), "places")
+    places = found.select("row", "run", "anchor").join(again, "anchor")
+    # What goes to documents lies in the same buckets.
+    runs = common.bucketed(places.groupBy("row").agg(F.collect_list("run").alias("runs")), "row", "places", dealt=True)
     common.drop_staged(found, again)
     said = common.staged(phrases_at(usable.join(runs, "row"), phrase), "phrases")
     known = common.staged(said.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase"), "confirmed")
-    routed = said.select("row", "phrase").join(known, "phrase").groupBy("row").agg(F.collect_list("phrase").alias("phrases"))
-    # Both lists of a row in one table, as a document waits for one side only.
-    own = common.staged(runs.join(routed, "row", "left"), "routed")
-    common.drop_staged(runs, said, known)
-    rows = common.staged(located(usable.join(own, "row", "left"), window, phrase), "located")
+    routed = common.bucketed(said.select("row", "phrase").join(known, "phrase").groupBy("row").agg(F.collect_list("phrase").alias("phrases")), "row", "routed", dealt=True)
+    common.drop_staged(said, known)
+    rows = common.staged(located(usable.join(runs, "row", "left").join(routed, "row", "left"), window, phrase), "located")
     classes = common.staged(rows.groupBy("phrase", "class").agg(F.min("doc_id").alias("leader")), "classes")
     owned = common.staged(rows.join(classes, ["phrase", "class"]), "owned")
-    common.drop_staged(own, rows)
-    later = owned.where("doc_id > leader").select("row", F.explode("firsts").alias("first"), "n")
+    common.drop_staged(runs, routed, rows)
+    cut = lambda n: F.shiftleft(F.col("first").cast("long"), _N).bitwiseOR(n).alias("cut")
+    later = owned.where("doc_id > leader").select("row", F.explode("firsts").alias("first"), "n").select("row", cut(F.col("n")))
     # A leader loses a window that another class of the phrase holds in a smaller document.
     several = common.staged(classes.groupBy("phrase").agg(F.count("*").alias("k")).where("k > 1").select("phrase"), "several")
     leaders = owned.where("doc_id = leader").join(several, "phrase").groupBy("row").agg(F.collect_list(F.struct("phrase", "n", "firsts")).alias("runs"))
     each = common.staged(_windows(usable.join(leaders, "row"), window), "windows")
-    least = common.staged(each.groupBy("phrase", "w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase", "w", "low"), "least")
-    single = each.join(least, ["phrase", "w"]).where("low < doc_id").select("row", "first", F.lit(1).alias("n"))
-    cuts = common.staged(later.unionAll(single).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("cuts")), "cuts")
+    least = common.staged(each.groupBy("phrase", "w").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("phrase", "w", "low"), "least")
+    single = each.join(least, ["phrase", "w"]).where("low < doc_id").select("row", cut(F.lit(1)))
+    cuts = common.bucketed(later.unionAll(single).groupBy("row").agg(F.collect_list("cut").alias("cuts")), "row", "cuts", dealt=True)
     common.drop_staged(classes, owned, several, each, least)
     return cuts
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
+def _dealt(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    if not 0 < phrase <= window < 1 << _PLACE:
+        raise ValueError(f"a phrase has words and fits in a window, which is under {1 << _PLACE}")
     return common.bucketed(docs.withColumn(ROW, F.monotonically_increasing_id()), ROW, "documents")
 
 
-def kept(text: str | None, cuts: list[dict] | None, window: int) -> tuple[int, int, str]:
+def kept(text: str | None, cuts: list[int] | None, window: int) -> tuple[int, int, str]:
     """Words, words removed, and the others joined by one space each."""
     line = plain(text)
     n = line.count(" ") + 1 if line else 0
@@ -353,7 +368,8 @@ def kept(text: str | None, cuts: list[dict] | None, window: int) -> tuple[int, i
         return n, 0, line
     words, covered = line.split(" "), bytearray(n)
     for c in cuts:
-        first, end = c["first"], min(n, c["first"] + c["n"] + window - 1)
+        first = c >> _N
+        end = min(n, first + (c & ((1 << _N) - 1)) + window - 1)
         covered[first:end] = b"\1" * (end - first)
     left = [w for w, c in zip(words, covered, strict=True) if not c]
     return n, n - len(left), " ".join(left)
@@ -367,7 +383,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     a null doc_id lose nothing and take nothing. Rows that repeat a doc_id don't count as smaller. An empty table gives no rows.
     Columns other than doc_id and text take no part."""
     common.configure(docs.sparkSession)
-    dealt = _dealt(docs.select(F.col("doc_id").cast("long"), "text"))
+    dealt = _dealt(docs.select(F.col("doc_id").cast("long"), "text"), window, phrase)
     cuts = _cuts(dealt, window, phrase).withColumnRenamed("row", ROW)
 
     def task():
@@ -384,7 +400,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     """docs with the repeated words gone from text, and documents that have no words left gone; texts that lose nothing are
     as they were, others are the kept words joined by spaces. Other columns stay as they are; see substring_dedup for odd rows."""
     common.configure(docs.sparkSession)
-    dealt = _dealt(docs)
+    dealt = _dealt(docs, window, phrase)
     cuts = _cuts(dealt, window, phrase).select(F.col("row").alias(ROW), F.col("cuts").alias("__attestry_cuts"))
     columns, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
