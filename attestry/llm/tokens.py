@@ -22,8 +22,8 @@ _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACED = re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
 _UNSPACED = re.compile(f"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 _UNSPACED_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces of a generation, two of which are remembered in a worker: some 100 MB at most, and about 60 MB between tasks.
-MEMORY = 300_000
+#: Pieces of a generation, two of which are remembered in a worker: some 150 MB at most, and half of it between tasks.
+MEMORY = 400_000
 
 
 def _byte_letters() -> str:
@@ -42,8 +42,9 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.elder.get(piece)
         if out is None:
-            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            out = array("I", [x.id for x in found]).tobytes()
+            # ASCII letters and digits stand for themselves.
+            word = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.letters)
+            out = array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
         self[piece] = out
         return out
 

@@ -82,7 +82,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
     """Ids of each row's whole text (null: empty) and the end id, cut into chunks. An id that `width` bytes don't hold is an error."""
 
     def task():
-        enc, end, packer = encoder(tokenizer), int(end_id).to_bytes(4, "little"), zstandard.ZstdCompressor(level=2)
+        enc, end, packer = encoder(tokenizer), int(end_id).to_bytes(4, "little"), zstandard.ZstdCompressor(level=1)
 
         def f(x):
             out = {k: [] for k in ("n_tokens", "digests", "sizes", "payload")}
@@ -110,7 +110,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
     return common.stream(docs.select(F.col("doc_id").cast("long"), "text"), task, ENCODED)
 
 
-#: Encoded bytes of a pack; there are as many packs as shuffle partitions at least.
+#: Bytes of a pack's ids; there are as many packs as shuffle partitions at least.
 PACK_BYTES = 64 << 20
 
 
@@ -145,7 +145,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     spark = common.configure(docs.sparkSession)
     # Payloads are compressed already; uid names a row of the staged table.
     rows = common.staged(encoded(docs, tokenizer, end_id, width).withColumn("uid", F.monotonically_increasing_id()), "encoded", compression="none")
-    packs = max(common.partitions(spark), -(-(rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) // PACK_BYTES))
+    packs = max(common.partitions(spark), -(-width * (rows.agg(F.sum("n_tokens")).first()[0] or 0) // PACK_BYTES))
     cuts_ = [i / packs for i in range(1, packs)]
     bounds = sorted(set(rows.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", cuts_, 0.2 / packs))) if cuts_ else []
     pack = _pack(F.col("doc_id"), [int(x) for x in bounds])
@@ -164,7 +164,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     dealt = dealt.repartitionByRange(packs, "pack").sortWithinPartitions("pack", F.col("doc_id").asc_nulls_first(), "uid", "is_row")
 
     def task():
-        packer, opener = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        packer, opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         place = {"pack": None, "at": 0, "marks": None}
 
         def f(x):
