@@ -52,14 +52,12 @@ def similar_pairs(vectors: DataFrame, tolerance: float, block_rows: int = 2000)
     rows = rows.repartition(max(1, spark.sparkContext.defaultParallelism), F.xxhash64("id")).sortWithinPartitions("id")
     with_checkpoints(spark)
     blocks = rows.mapInArrow(pack, "block long, ids binary, x binary").checkpoint()
-    names = [r.block for r in blocks.select("block").collect()]  # one for each block
-    place = F.create_map(*[x for n, b in enumerate(names) for x in (F.lit(b), F.lit(n))]) if names else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    numbered = blocks.withColumn("n", F.element_at(place, F.col("block")))
-    # Every block goes to the row and the column of the triangle that it lies in; cells are the join key.
-    cell = lambda a, b: F.format_string("%d/%d", a, b)
-    left = numbered.select("block", "ids", "x", F.explode(F.sequence(F.col("n"), F.lit(max(len(names) - 1, 0)))).alias("m"), "n").withColumn("cell", cell(F.col("n"), F.col("m")))
-    right = numbered.select(F.col("block").alias("b2"), F.col("ids").alias("ids2"), F.col("x").alias("x2"), F.explode(F.sequence(F.lit(0), F.col("n"))).alias("m"), "n").withColumn("cell", cell(F.col("m"), F.col("n")))
-    pairs = left.join(right.select("b2", "ids2", "x2", "cell"), "cell").select("block", "ids", "x", "b2", "ids2", "x2")
+    # Blocks are numbered by a table of a row for each; every block goes to the row and the column of the triangle that it lies in.
+    names = [r.block for r in blocks.select("block").collect()]
+    numbered = blocks.join(spark.createDataFrame([(b, i) for i, b in enumerate(names)], "block long, n int"), "block")
+    left = numbered.select("block", "ids", "x", F.col("n").alias("low"), F.explode(F.sequence(F.col("n"), F.lit(max(len(names) - 1, 0)))).alias("high"))
+    right = numbered.select(F.col("block").alias("b2"), F.col("ids").alias("ids2"), F.col("x").alias("x2"), F.col("n").alias("high"), F.explode(F.sequence(F.lit(0), F.col("n"))).alias("low"))
+    pairs = left.join(right, ["low", "high"]).select("block", "ids", "x", "b2", "ids2", "x2")
     return pairs.mapInArrow(meet, "i long, j long, sim double")
 
 
