@@ -39,17 +39,45 @@ IMPORT_RECORD = T.StructType(
     ]
 )
 
+# Column names and kinds of the exported CSVs, in file order.
 _ANNOTATION_BASE = (
-    ("record_uuid", "string"), ("annotator_id", "string"), ("task", "string"), ("language", "string"), ("calibration", "boolean"),
-    ("inserted_at", "timestamp"), ("created_at", "timestamp"), ("record_status", "string"), ("response_status", "string"),
-    ("discard_reason", "string"), ("discard_notes", "string"),
-)
+    ("record_uuid", "string"),
+    ("annotator_id", "string"),
+    ("task", "string"),
+    ("language", "string"),
+    ("calibration", "boolean"),
+    ("inserted_at", "timestamp"),
+    ("created_at", "timestamp"),
+    ("record_status", "string"),
+    ("response_status", "string"),
+    ("discard_reason", "string"),
+    ("discard_notes", "string"),
+)
 _ANNOTATION_TEXTS = {
-    "retrieval": (("query", "string"), ("chunk", "string"), ("chunk_id", "string"), ("doc_id", "string"), ("chunk_rank", "int"), ("n_retrieved_chunks", "int")),
-    "grounding": (("answer", "string"), ("context_set", "string")),
-    "generation": (("query", "string"), ("answer", "string")),
+    "retrieval": (
+        ("query", "string"),
+        ("chunk", "string"),
+        ("chunk_id", "string"),
+        ("doc_id", "string"),
+        ("chunk_rank", "int"),
+        ("n_retrieved_chunks", "int"),
+    ),
+    "grounding": (
+        ("answer", "string"),
+        ("context_set", "string"),
+    ),
+    "generation": (
+        ("query", "string"),
+        ("answer", "string"),
+    ),
 }
-_PANEL = (("panel_complete", "boolean"), ("n_annotated_chunks", "int"), ("n_submitted_chunks", "int"), ("n_discarded_chunks", "int"), ("n_records_seen", "int"))
+_PANEL = (
+    ("panel_complete", "boolean"),
+    ("n_annotated_chunks", "int"),
+    ("n_submitted_chunks", "int"),
+    ("n_discarded_chunks", "int"),
+    ("n_records_seen", "int"),
+)
 
 
 def _struct(fields) -> T.StructType:
