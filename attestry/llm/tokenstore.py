@@ -82,18 +82,16 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFra
     """Ids of each row's whole text (null: empty) and the end id, cut into chunks. An id that `width` bytes don't hold is an error."""
 
     def task():
-        enc, end, packer = encoder(tokenizer), int(end_id).to_bytes(4, "little"), zstandard.ZstdCompressor(level=1)
+        enc, packer = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
 
         def f(x):
             out = {k: [] for k in ("n_tokens", "digests", "sizes", "payload")}
-            parts = [enc.encode(text) + end for text in x["text"]]
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids, lengths = enc.encode_all(x["text"], end_id)
             if width < 4 and len(ids) and int(ids.max()) >> 8 * width:
                 raise ValueError(f"id {ids.max()} doesn't fit in {width} bytes")
             data = ids.astype(f"<u{width}").tobytes()
             marks, at = marks_of(ids), 0  # of the whole batch; a span within a document doesn't see its neighbours
-            for part in parts:
-                n = len(part) // 4
+            for n in lengths.tolist():
                 own = marks[np.searchsorted(marks, at) : np.searchsorted(marks, at + n - SPAN, "right")]
                 ends = cuts_of(n, (own - at + SPAN).tolist())
                 starts = [0, *ends[:-1]]
