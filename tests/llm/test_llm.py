@@ -43,6 +43,9 @@ def test_encoder_is_the_library(name):
     texts = [t for t in ODD if t] + ["".join(rng.choice(chars) for _ in range(rng.randint(1, 80))) for _ in range(400)] + ["we'll I'd 'S 'VE don't  two   three\n\n x", "ÀÉ'S"]
     for t in texts:
         assert enc.encode(t) == struct.pack(f"<{len(ids := whole.encode(t, add_special_tokens=False).ids)}I", *ids), repr(t)
+    ids, sizes = enc.encode_all([None, *texts, ""], 7)
+    want = [[*(whole.encode(t, add_special_tokens=False).ids if t else []), 7] for t in [None, *texts, ""]]
+    assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want] and len(enc.encode_all([], 7)[0]) == 0
     tokens_before = enc.encode("hello there")
     enc.pieces.age()
     enc.pieces.age()
@@ -63,6 +66,15 @@ def test_encoder_is_the_untouched_library(name, n):
         assert enc.encode(t) == struct.pack(f"<{len(ids := whole.encode(t, add_special_tokens=False).ids)}I", *ids), repr(t)
 
 
+def test_pieces_are_cut_alike():
+    rng = random.Random(9)
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", '"', ".", "  ", "\n", "\t", "a", "sam", "l", "e", "12", "3", "é", "µ", "²", "¼", "ÿ", "x" * 20, "abcdefgh", "abcdefg", "abcdefghijklmnop", "-", "--"]
+    for _ in range(3000):
+        line_ = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        first, size = tokens.cut_unspaced(np.frombuffer(line_.encode("latin-1"), np.uint8))
+        assert [line_[a : a + n] for a, n in zip(first.tolist(), size.tolist())] == tokens._UNSPACED.findall(line_), repr(line_)
+
+
 # Packing
 
 
