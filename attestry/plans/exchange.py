@@ -11,6 +11,7 @@ from typing import Any, Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import merged_metadata
 from ..operators import completeness, constraints, partition, responses
 from ..operators.validate import split_valid
 from ..paths import Workspace
@@ -61,6 +62,18 @@ class ParquetStore:
         snapshot.join(todo, same, "left").withColumn("tags", tags).select(*snapshot.columns).write.parquet(staging)
         writers.replace_table(self.spark, staging, path)
 
+    def update_metadata(self, changes: DataFrame, remove: tuple[str, ...] = ()) -> None:
+        """Merge metadata into records: updates win, removed keys go. changes: workspace, dataset, record_uuid, chunk_id, updates (a map)."""
+        keys, path = ["workspace", "dataset", "record_uuid", "chunk_id"], f"{self.path}/snapshot"
+        todo = changes.select(*[F.col(k).alias(f"__{k}") for k in keys], "updates")
+        snapshot = self.snapshot()
+        same = [F.coalesce(snapshot[k], F.lit("")) == F.col(f"__{k}") for k in keys]
+        current = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+        merged = F.when(F.col("updates").isNotNull(), merged_metadata(current, F.col("updates"), list(remove)))
+        staging = f"{path}.{uuid.uuid4().hex}.staging"
+        snapshot.join(todo, same, "left").withColumn("metadata", F.coalesce(merged, "metadata")).select(*snapshot.columns).write.parquet(staging)
+        writers.replace_table(self.spark, staging, path)
+
     def users(self) -> DataFrame | None:
         p, store = writers.hadoop(self.spark, f"{self.path}/users")
         return self.spark.read.parquet(f"{self.path}/users") if store.exists(p) else None

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
@@ -57,6 +59,23 @@ def read_memory(path: Path, spec: dict) -> dict | None:
     return value.get("summary") if value.get("fingerprint") == fingerprint(spec) else None
 
 
+class StageError(RuntimeError):
+    """A model call of a stage failed; `stage` is planning, summary or realization."""
+
+    def __init__(self, stage: str, cause: Exception) -> None:
+        super().__init__(f"{stage} failed: {cause}")
+        self.stage = stage
+
+
+@contextmanager
+def stage(name: str) -> Iterator[None]:
+    """Errors of a model in the block become a StageError."""
+    try:
+        yield
+    except Exception as e:
+        raise StageError(name, e) from e
+
+
 def gen_queries(spark: SparkSession, spec: dict, planner: querygen.Planner, realizer: querygen.Realizer, summarizer: querygen.Summarizer | None = None, embedder: querygen.Embedder | None = None, settings: QueryGenSettings | None = None, run_id: str = "run", workspace: Workspace | None = None) -> DataFrame:
     """Plan in batches with a memory, align, deduplicate, realize, align, assemble. Model calls are sequential by nature and bounded by n_queries."""
     settings, workspace = settings or QueryGenSettings(), workspace or Workspace()
@@ -66,11 +85,13 @@ def gen_queries(spark: SparkSession, spec: dict, planner: querygen.Planner, real
     planned: list[dict] = []
     expected: list[str] = []
     for ids in batches(settings.n_queries, settings.batch_size):
-        found = planner.plan(spec, ids, memory)
+        with stage("planning"):
+            found = planner.plan(spec, ids, memory)
         planned += found
         expected += ids
         if summarizer:
-            memory = summarizer.update(memory, found)
+            with stage("summary"):
+                memory = summarizer.update(memory, found)
     order = spark.createDataFrame([(x, i) for i, x in enumerate(expected)], "candidate_id string, ord long")
     kinds = ", ".join(f"{c} string" for c in ("candidate_id", *BLUEPRINT_FIELDS)) + ", ord long"
     rows = [tuple(p.get(c) for c in ("candidate_id", *BLUEPRINT_FIELDS)) + (i,) for i, p in enumerate(planned)]
@@ -79,7 +100,8 @@ def gen_queries(spark: SparkSession, spec: dict, planner: querygen.Planner, real
     chosen = [r.asDict() for r in kept.collect()]
     realized: list[dict] = []
     for i in range(0, len(chosen), settings.batch_size):
-        realized += realizer.realize(chosen[i : i + settings.batch_size])
+        with stage("realization"):
+            realized += realizer.realize(chosen[i : i + settings.batch_size])
     texts = spark.createDataFrame([(r["candidate_id"], r["query"], i) for i, r in enumerate(realized)], "candidate_id string, query string, ord long")
     out = querygen.assemble(querygen.align_first_by_id(texts, kept.select("candidate_id", "ord")), kept, run_id)
     writers.write_csv(out, str(folder / "queries.csv"))

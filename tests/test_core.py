@@ -402,6 +402,13 @@ def test_import_export_round_trip(spark, tmp_path):
     n = exchange.report_status(other, tag_partial_panels=True)["tags"]["n_tagged"]
     assert n == sum(not x[-1] for x in half) == other.snapshot().where("array_contains(tags, 'true')").count()
     assert exchange.report_status(other, tag_partial_panels=True)["tags"] == {"n_tagged": 0, "n_cleared": 0, "n_already_tagged": n}
+    key = ("ws", half[0][1], half[0][4], half[0][5])
+    change = spark.createDataFrame([(*key, {"note": "n"})], "workspace string, dataset string, record_uuid string, chunk_id string, updates map<string,string>")
+    before = {(x.record_uuid, x.chunk_id): dict(x.metadata) for x in other.snapshot().collect()}
+    other.update_metadata(change, remove=("chunk_rank",))
+    after = {(x.record_uuid, x.chunk_id): dict(x.metadata) for x in other.snapshot().collect()}
+    want = {k: v for k, v in before[key[2:]].items() if k != "chunk_rank"} | {"note": "n"}
+    assert after == before | {key[2:]: want} and want != before[key[2:]]
     lacking = [(*x[:-1], [a for a in x[-1] if a[1] != "misleading"]) for x in data]
     spark.createDataFrame(lacking, SNAPSHOT).write.parquet(str(tmp_path / "lack/snapshot"))
     with pytest.raises(ValueError, match="misleading"):
@@ -475,6 +482,16 @@ def test_query_generation(spark, tmp_path):
             generate.canonical_choices(bad)
 
 
+def test_failing_models_name_their_stage(spark, tmp_path):
+    class Failing(Model):
+        def realize(self, blueprints):
+            raise OSError("down")
+
+    with pytest.raises(generate.StageError, match="realization failed: down") as e:
+        generate.gen_queries(spark, {"domains": "x"}, Model(), Failing(), workspace=Workspace(tmp_path))
+    assert e.value.stage == "realization" and isinstance(e.value.__cause__, OSError)
+
+
 def test_classifier_frames(spark):
     df = ret(spark, [("r", "a", 1, 1, 0, 0)])
     there = frames.to_classifier(df, "retrieval")
