@@ -26,8 +26,8 @@ _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACED = re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+")
 _UNSPACED = re.compile(f"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
 _UNSPACED_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces of a generation, two of which are remembered in a worker: some 150 MB at most, and half of it between tasks.
-MEMORY = 400_000
+#: Pieces of a generation, two of which are remembered in a worker: some 100 MB at most, and half of it between tasks.
+MEMORY = 250_000
 
 
 #: Classes of Latin-1 characters: white space, letters, numbers, others.

@@ -159,7 +159,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     # A document's marks and its row are dealt by pack and meet in sorted order, so payloads are dealt out once.
     whole = rows.select(pack.alias("pack"), "doc_id", "uid", F.lit(1).alias("is_row"), "n_tokens", "digests", "sizes", "payload", F.lit(None).cast("array<struct<i:int,owns:boolean>>").alias("marks"))
     dealt = whole.unionByName(marks.withColumn("is_row", F.lit(0)), allowMissingColumns=True)
-    dealt = dealt.repartitionByRange(packs, "pack").sortWithinPartitions("pack", F.col("doc_id").asc_nulls_first(), "uid", "is_row")
+    dealt = dealt.repartitionById(packs, F.col("pack")).sortWithinPartitions("pack", F.col("doc_id").asc_nulls_first(), "uid", "is_row")
 
     def task():
         packer, opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
