@@ -13,8 +13,8 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,18 +91,19 @@ class Model:
     def passages(self, text: str | None, memory: _Scores) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of words, and all maximal segments as (first word, end, score)."""
         words = WORD.findall(text.lower()) if text else []
-        scores = list(map(memory.__getitem__, words))
-        hits = [i for i, s in enumerate(scores) if s > 0]
-        if not hits:
+        scores = np.fromiter(map(memory.__getitem__, words), float, len(words))
+        hits = np.flatnonzero(scores > 0)
+        if not len(hits):
             return len(words), []
         # Runs of other words between two hits are one step each, so the scan is over the hits alone.
-        total = [0.0, *accumulate(scores)]
+        total = np.concatenate(([0.0], np.cumsum(scores)))
+        before, upto, own = total[hits].tolist(), total[hits + 1].tolist(), scores[hits].tolist()
         steps, places, last = [], [], None
-        for i in hits:
+        for k, i in enumerate(hits.tolist()):
             if last is not None and i - last > 1:
-                steps.append(total[i] - total[last + 1])
+                steps.append(before[k] - upto[k - 1])
                 places.append(last + 1)
-            steps.append(scores[i])
+            steps.append(own[k])
             places.append(i)
             last = i
         return len(words), [(places[a], places[b - 1] + 1, s) for a, b, s in segments(steps)]
