@@ -64,8 +64,9 @@ def arrow_schema(schema: str) -> pa.Schema:
 
 
 def stream(df: DataFrame, each: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """mapInArrow over column lists. `each` runs once in a task and returns the function of a batch; what that function has as
-    `end` is called when the task's rows are over or the task ends otherwise, so that a reused worker keeps nothing."""
+    """mapInArrow over column lists. `each` runs once in a task and returns the function of a batch. If that function has `last`, this
+    gives the rows after all batches; if it has `end`, that is called when the task's rows are over or the task ends otherwise, so that a
+    reused worker keeps nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = each()
@@ -73,6 +74,9 @@ def stream(df: DataFrame, each: Callable[[], Callable[[dict[str, list]], dict[st
             for batch in batches:
                 out = f({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in kinds], schema=kinds)
+            if hasattr(f, "last"):
+                out = f.last()
+                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in kinds], schema=kinds)
         finally:
             getattr(f, "end", int)()
 

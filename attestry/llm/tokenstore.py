@@ -6,7 +6,7 @@ holds it, under its digest. A document's row is its recipe, the digests in order
 tree over them; packs of documents have roots of their own and the manifest has the root of all packs.
 
 File format: Parquet rows in ascending doc_id order. kind `doc`: recipe and the chunks that no other place
-holds; kind `chunk`: a shared chunk under its digest. Ids are little-endian unsigned integers of `width` bytes,
+holds; kind `chunk`: a shared chunk under its digest; kind `pack`: the root of a pack. Ids are little-endian unsigned integers of `width` bytes,
 compressed by Zstandard.
 """
 
@@ -164,6 +164,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
     def task():
         packer, opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         place = {"pack": None, "at": 0, "marks": None}
+        roots: list[bytes] = []  # of the pack's documents so far
 
         def f(x):
             out = {k: [] for k in names}
@@ -173,6 +174,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
                     continue
                 marked, place["marks"] = place["marks"], None
                 if p != place["pack"]:
+                    seal(out)
                     place.update(pack=p, at=first[p])
                 if marked:
                     data, at, own = opener.decompress(payload), 0, []
@@ -185,21 +187,34 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
                         elif elsewhere[i]:
                             put(out, ("chunk", p, None, None, size, [digests[i]], [size], None, None, packer.compress(chunk)))
                     payload = packer.compress(b"".join(own))
-                put(out, ("doc", p, doc_id, place["at"], n, digests, sizes, sorted(m["i"] for m in marked or ()), merkle_root(digests), payload))
+                roots.append(merkle_root(digests))
+                put(out, ("doc", p, doc_id, place["at"], n, digests, sizes, sorted(m["i"] for m in marked or ()), roots[-1], payload))
                 place["at"] += n
             return out
 
+        def seal(out):
+            if roots:
+                put(out, ("pack", place["pack"], None, None, None, None, None, None, merkle_root(roots), None))
+                roots.clear()
+
+        def last():
+            out = {k: [] for k in names}
+            seal(out)
+            return out
+
         def put(out, row):
             for k, v in zip(names, row, strict=True):
                 out[k].append(v)
 
+        f.last = last
         return f
 
     names = [x.split()[0] for x in STORED.split(", ")]
     columns = ["pack", "doc_id", "n_tokens", "digests", "sizes", "payload", "marks"]
     common.stream(dealt.select(*columns), task, STORED).write.option("compression", "none").parquet(f"{path}/packs")
     common.drop_staged(rows, shared)
-    roots = _pack_roots(spark.read.schema(STORED).parquet(f"{path}/packs"))
+    sealed = spark.read.schema(STORED).parquet(f"{path}/packs").where("kind = 'pack'").select("pack", "root").orderBy("pack")
+    roots = {str(r.pack): bytes(r.root).hex() for r in sealed.collect()}  # one row a pack
     return Manifest(path, width, sum(r.docs for r in totals), at, roots, merkle_root([bytes.fromhex(x) for x in roots.values()]).hex()).save(spark)
 
 
