@@ -79,6 +79,7 @@ def stream(df: DataFrame, each: Callable[[], Callable[[dict[str, list]], dict[st
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in kinds], schema=kinds)
         finally:
             getattr(f, "end", int)()
+            pa.default_memory_pool().release_unused()
 
     kinds = arrow_schema(schema)
     return df.mapInArrow(run, schema)

@@ -28,6 +28,8 @@ _UNSPACED = re.compile(f"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBE
 _UNSPACED_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces of a generation, two of which are remembered in a worker: some 100 MB at most, and half of it between tasks.
 MEMORY = 250_000
+#: Characters that are cut together: a worker's arrays take some 25 bytes for each.
+BLOCK = 2 << 20
 
 
 #: Classes of Latin-1 characters: white space, letters, numbers, others.
@@ -149,8 +151,12 @@ class Encoder:
         for i in whole:
             parts[i] = self.encode(texts[i])
         at = sorted({*range(len(texts))} - {*whole})
-        for i, ids in zip(at, self._by_piece([texts[i] or "" for i in at]), strict=True):
-            parts[i] = ids
+        while at:  # arrays over about BLOCK characters, a longer text alone
+            ends = np.cumsum([len(texts[i] or "") for i in at])
+            k = max(1, int(np.searchsorted(ends, BLOCK, "right")))
+            for i, ids in zip(at[:k], self._by_piece([texts[i] or "" for i in at[:k]]), strict=True):
+                parts[i] = ids
+            at = at[k:]
         end = np.array([end_id], "<u4").tobytes()
         sizes = np.fromiter((len(x) // 4 + 1 for x in parts), np.int64, len(parts))
         return np.frombuffer(b"".join(x for part in parts for x in (part, end)), "<u4"), sizes
