@@ -307,6 +307,34 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_dedup_sets_meet_by_their_fingerprints():
+    rng = np.random.default_rng(3)
+    prints = [slow_print(t, 5) for t in ("one two three", "a b c d e f g h i j k l", "x y")]
+    assert [int(neardup.fingerprint(neardup.shingle_set(t, 5))[0]) for t in ("one two three", "a b c d e f g h i j k l", "x y")] == prints
+    assert neardup.differing(0.8) == 0.1875 and neardup.blocks(100, 0.8) == (0, 1) and neardup.blocks(1 << 30, 0.8)[0] == 18
+    bits, bands = neardup.blocks(neardup.CELL * 60, 0.8)
+    for _ in range(300):  # similarity of just 0.8
+        k = int(rng.integers(1, 60))
+        union = rng.integers(0, 1 << 64, 5 * k, np.uint64)
+        x = int(rng.integers(0, k + 1))
+        a, b = (neardup.fingerprint(h, -(-bits * bands // 64)) for h in (union[: 5 * k - x], union[k - x :]))
+        assert sum((int(p) ^ int(q)).bit_count() for p, q in zip(a[: neardup.HEAD], b)) <= neardup.radius(64 * neardup.HEAD, 0.8)
+        cut = [sum(int(w) << (64 * i) for i, w in enumerate(p)) for p in (a, b)]
+        agree = [all((p >> (bits * n + i) & 1) == (q >> (bits * n + i) & 1) for i in range(bits)) for n in range(bands) for p, q in [cut]]
+        keys = neardup.block_keys(np.stack([a, b]), bits, bands)
+        assert (keys[0] == keys[1]).tolist() == agree and any(agree)
+    n = np.sort(rng.integers(50, 90, 300))
+    head = rng.integers(0, 1 << 64, (300, neardup.HEAD), np.uint64)
+    for i in range(0, 300, 3):  # some are near others
+        head[i] = head[i // 30 * 30] ^ np.bitwise_and.reduce(rng.integers(0, 1 << 64, (2 + i % 2, neardup.HEAD), np.uint64))
+    found = {(int(i), int(j), int(d)) for x in neardup.close_pairs(n, head, 0.8) for i, j, d in zip(*x)}
+    apart = np.bitwise_count(head[:, None] ^ head[None]).sum(2)
+    first = np.bitwise_count(head[:, None, : neardup.FIRST] ^ head[None, :, : neardup.FIRST]).sum(2)
+    near = (apart <= neardup.radius(64 * neardup.HEAD, 0.8)) & (first <= neardup.radius(64 * neardup.FIRST, 0.8))
+    want = {(i, j, int(apart[i, j])) for i in range(300) for j in range(i + 1, 300) if near[i, j] and n[i] >= 0.8 * n[j] - 1e-9}
+    assert found == want and len(want) > 50
+
+
 def test_coordinates_discard_no_similar_pair():
     rng = np.random.default_rng(0)
     kept = 0
