@@ -944,3 +944,62 @@ def test_pipeline_on_an_empty_table_and_on_repeated_rows(spark):
         if name == "simhash_near_dedup":
             assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
     assert corpus_pipeline.best_fit_packing(spark, twice, SF).select("doc_id").distinct().count() == once.count()
+
+
+def test_near_dedup_blocks_and_radius_go_by_the_size_of_sets():
+    rng = np.random.default_rng(4)
+    n = 60 * neardup.CELL
+    bits, bands = neardup.blocks(n, 0.8)[0], [neardup.blocks(n, 0.8, least)[1] for least in neardup.TIERS]
+    # Larger sets have fewer blocks, and postings grow with less than the power 1.3 of the rows.
+    assert bands == sorted(bands, reverse=True) and bands[-1] < 0.8 * bands[0] == 0.8 * neardup.blocks(n, 0.8)[1]
+    assert all(neardup.blocks(64 * x, 0.8, 64)[1] < 64**0.3 * neardup.blocks(x, 0.8, 64)[1] for x in (n, 64 * n))
+    assert neardup.tier(np.array([0, 1, 15, 16, 63, 64, 9999])).tolist() == [0, 0, 0, 1, 1, 2, 2]
+    within = neardup.radii(0.8)
+    assert within[0].tolist() == [neardup.radius(64 * k, 0.8) for k in (neardup.FIRST, neardup.HEAD)] and (within[-1] < within[0]).all()
+    most = max(neardup._words(bits, x) for x in bands)
+    for _ in range(600):  # similarity of just 0.8; in unions of 65 and 16 or so the chance of a bit is the greatest of a tier
+        k = int(rng.integers(1, 60)) if _ % 2 else int(rng.choice([3, 4, 5, 13, 14, 16]))
+        union = rng.integers(0, 1 << 64, 5 * k, np.uint64)
+        x = int(rng.integers(0, k + 1))
+        sets = sorted((union[: 5 * k - x], union[k - x :]), key=len)
+        if len(sets[0]) < 4:
+            continue
+        tiers = neardup.tier(np.array([len(h) for h in sets])).tolist()
+        prints = [np.pad(p := neardup.fingerprint(h, neardup._words(bits, bands[t])), (0, most - len(p))) for h, t in zip(sets, tiers)]
+        keys = [neardup.block_keys(p[None], bits, max(bands))[0, : bands[t]] for p, t in zip(prints, tiers)]
+        assert np.isin(*keys).any()
+        found = list(neardup.close_pairs(np.array([len(h) for h in sets]), np.stack(prints)[:, : neardup.HEAD], 0.8, within))
+        assert sum(len(i) for i, _, _ in found) == 1
+    # What is beyond its own radius is not found, though it is within that of the smallest sets.
+    head = np.zeros((2, neardup.HEAD), np.uint64)
+    head[1] = [(1 << 21) - 1] * neardup.HEAD  # 84 bits, 63 of them in the first words
+    assert [sum(len(i) for i, _, _ in neardup.close_pairs(np.array([x, x]), head, 0.8, within)) for x in (8, 200)] == [1, 0]
+
+
+def test_near_dedup_deals_out_a_class_once_and_coordinates_to_few(spark, monkeypatch):
+    # Three groups of copies far from one another and their like; a cell that isn't crowded is dealt out once.
+    rng = random.Random(21)
+    texts = []
+    for _ in range(3):
+        base = line(rng, 80).split()
+        texts += [" ".join([*base[:at], f"x{at}", *base[at + 1 :]]) for at in range(0, 75, 5)]
+    df, rows = docs(spark, texts), []
+    meeting = neardup._meeting
+
+    def counted(classes, *a, **k):
+        out = meeting(classes, *a, **k)
+        rows.append((len(classes.first().place) if "place" in classes.columns and not classes.isEmpty() else 0, classes.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "_meeting", counted)
+    kept = sorted(r.doc_id for r in neardup.keep_first(df).collect())
+    assert len(kept) == 3
+    # All classes meet first, and those of pairs by their components; none of them meets another component, so no whole coordinates go to cells.
+    assert rows == [(0, 45), (neardup.PARTS // neardup.FOLD, 45), (0, 0), (0, 0)]
+    for k in (40, 400, 4000):  # folded coordinates only weaken the bound
+        union = np.unique(np.random.default_rng(k).integers(0, 1 << 64, k, np.uint64))
+        for x in (k // 10, k // 2):
+            a, b = union[x:], union[: k - x]
+            may = [bool(neardup.can_reach(np.array([len(a)]), np.array([len(b)]), f(neardup.coordinates(a))[None], f(neardup.coordinates(b))[None], 0.8)[0]) for f in (neardup.folded, lambda p: p)]
+            assert may[0] or not may[1]
+            assert may[0] or x > k // 10
